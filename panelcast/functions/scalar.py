@@ -27,7 +27,7 @@ def parse_date(c: str | Column, fmt: str | None = None) -> Column:
     c = col_of(c)
     if fmt is None:
         return c.cast(T.DateType())
-    return F.try_to_date(c, F.lit(fmt))
+    return F.try_to_date(c, fmt)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -12,8 +12,6 @@ dates, not by the raw data volume behind that code.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +51,7 @@ def value_columns(df: DataFrame, key: str = "code",
 def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
               mode: str = "backward", drop_null: bool = True,
               columns: list[str] | None = None, key: str = "code",
-              order: tuple[str, ...] = ("dt",)) -> DataFrame:
+              order: tuple[str, ...] = ("dt",), carry: tuple[str, ...] = ()) -> DataFrame:
     """Shift every value column 0..N rows within each series.
 
     For column ``c`` and ``i`` in ``0..N`` emits ``c_{iii}_day_before``: the
@@ -61,7 +59,8 @@ def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
     are kept). Series with fewer than ``N + 2`` rows are skipped. With
     ``drop_null`` rows with any missing shifted value (the first/last ``N``
     rows of each series) are dropped. Shifted columns are doubles, ordered
-    lexicographically after ``key, dt``.
+    lexicographically after ``key, dt``; ``carry`` columns (constant per
+    series, e.g. scaling bounds) pass through unshifted at the end.
     """
     if mode not in MODES:
         raise ValueError("shift mode must be 'forward' or 'backward'")
@@ -75,12 +74,12 @@ def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
             v = F.col(c) if i == 0 else shift(c, i).over(w)
             shifted[lag_name(c, i)] = v.cast(T.DoubleType())
     names = sorted(shifted)
-    framed = df.select(key, "dt", *[shifted[k].alias(k) for k in names],
+    framed = df.select(key, "dt", *[shifted[k].alias(k) for k in names], *carry,
                        F.count(F.lit(1)).over(whole_series(key, order)).alias("_n"))
     framed = framed.where(F.col("_n") >= n + 2).drop("_n")
     if drop_null:
         framed = framed.dropna(how="any", subset=names)
-    return framed.select(key, "dt", *names)
+    return framed.select(key, "dt", *names, *carry)
 
 
 def short_series_filter(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
@@ -94,16 +93,21 @@ def drop_sentinels(df: DataFrame, columns: list[str] | None = None,
                    threshold: float = SENTINEL_THRESHOLD) -> DataFrame:
     """Treat any cell below ``threshold`` as missing and drop its row.
 
-    Rows with an already missing cell are dropped as well (a null comparison
-    fails the predicate), matching "replace by missing, then drop missing".
+    Rows with an already missing cell are dropped as well, matching "replace
+    by missing, then drop missing". The test is a single ``least(...)``
+    predicate over the row rather than one conjunct per column: with dozens
+    of columns, separate conjuncts make Catalyst's constraint inference grow
+    combinatorially in later joins.
     """
     cols = columns if columns is not None else [
         f.name for f in df.schema.fields
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.IntegerType, T.LongType))]
     if not cols:
         return df
-    keep = reduce(lambda a, b: a & b, [F.col(c) >= F.lit(threshold) for c in cols])
-    return df.where(keep)
+    low = F.lit(float("-inf"))
+    cells = [F.coalesce(F.nanvl(F.col(c).cast(T.DoubleType()), low), low) for c in cols]
+    lowest = F.least(*cells) if len(cells) > 1 else cells[0]
+    return df.where(lowest >= F.lit(threshold))
 
 
 def label_from_lag0(df: DataFrame, col: str = "Y") -> DataFrame:

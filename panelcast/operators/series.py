@@ -26,8 +26,9 @@ def daily_spine(panel: DataFrame, value: str = "Y", key: str = "code") -> DataFr
     w = Window.partitionBy(key).orderBy("dt")
     nxt = F.lead("dt").over(w)
     last_day = F.greatest(F.col("dt"), F.coalesce(F.date_sub(nxt, 1), F.col("dt")))
-    expanded = panel.select(key, "dt", value,
-                            F.explode(F.sequence(F.col("dt"), last_day)).alias("_day"))
+    bounded = panel.select(key, "dt", value, last_day.alias("_last"))
+    expanded = bounded.select(key, "dt", value,
+                              F.explode(F.sequence(F.col("dt"), F.col("_last"))).alias("_day"))
     return expanded.select(
         key, F.col("_day").alias("dt"),
         F.when(F.col("_day") == F.col("dt"), F.col(value)).alias(value))

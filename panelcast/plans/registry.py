@@ -1,9 +1,10 @@
-"""Registered queries over the provided tables, each with its DuckDB oracle.
+"""Registry of queries over the provided tables, each with its DuckDB oracle.
 
 Every query reads whole tables from ``sf_dir`` and returns a lazy DataFrame.
 Computed columns carry the same aliases as the oracle SQL. Values that go
 through transcendental functions are rounded on both sides so that the
-one-ulp differences between math libraries do not matter.
+one-ulp differences between math libraries do not matter. Queries without
+an oracle (model training) are checked on row counts and by the unit tests.
 """
 
 from __future__ import annotations
@@ -11,20 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from panelcast.functions.calendar_features import CALENDAR_COLUMNS, add_calendar_features
-from panelcast.operators import lags, panel as P
-from panelcast.plans import panels
-from panelcast.plans.oracle_sql import calendar_select, lag_select, with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-FEATURE_BASE = ["Y", *CALENDAR_COLUMNS]
-
 
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
@@ -35,56 +28,23 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# ---------------------------------------------------------------- panel A
-def _calendar_panel(spark, sf_dir):
-    return add_calendar_features(panels.panel_a(spark, sf_dir))
-
-
-def _lag_frame_a(spark, sf_dir, **kw):
-    return lags.lag_frame(_calendar_panel(spark, sf_dir), 5, columns=FEATURE_BASE, **kw)
-
-
-_CAL_A = calendar_select("panel")
-_LAG_A_SQL, LAG_NAMES = lag_select("cal", FEATURE_BASE, 5)
-_LAG_A_KEEP_SQL, _ = lag_select("cal", FEATURE_BASE, 5, drop_null=False)
-_LEAD_A_SQL, _ = lag_select("cal", FEATURE_BASE, 5, mode="forward")
-
-
-@register("panel_sum", with_ctes({"panel": panels.PANEL_A_SQL}, "SELECT code, dt, Y FROM panel"))
-def q_panel_sum(spark, sf_dir):
-    return panels.panel_a(spark, sf_dir)
-
-
-@register("calendar_features", with_ctes({"panel": panels.PANEL_A_SQL}, _CAL_A))
-def q_calendar_features(spark, sf_dir):
-    return _calendar_panel(spark, sf_dir)
-
-
-@register("lag_frame_backward",
-          with_ctes({"panel": panels.PANEL_A_SQL, "cal": _CAL_A}, _LAG_A_SQL))
-def q_lag_frame_backward(spark, sf_dir):
-    return _lag_frame_a(spark, sf_dir)
-
-
-@register("lag_frame_keep_null",
-          with_ctes({"panel": panels.PANEL_A_SQL, "cal": _CAL_A}, _LAG_A_KEEP_SQL))
-def q_lag_frame_keep_null(spark, sf_dir):
-    return _lag_frame_a(spark, sf_dir, drop_null=False)
-
-
-@register("lead_frame_forward",
-          with_ctes({"panel": panels.PANEL_A_SQL, "cal": _CAL_A}, _LEAD_A_SQL))
-def q_lead_frame_forward(spark, sf_dir):
-    return _lag_frame_a(spark, sf_dir, mode="forward")
+def _load() -> None:
+    # Importing the query modules fills QUERIES / ORACLES.
+    from panelcast.plans import queries_forecast, queries_ml, queries_panel  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_lag_frame_backward(spark, sf_dir)
+    """History plus ratio forecast with calendar and lag features (no training)."""
+    from panelcast.plans.queries_forecast import history_plus_forecast
+
+    return history_plus_forecast(spark, sf_dir)
