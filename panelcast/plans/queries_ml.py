@@ -1 +1,168 @@
-"""Registered model-training queries (row-count checked; no SQL oracle)."""
+"""Registered model queries (row-count checked; no SQL oracle).
+
+Training data is the lag frame of panel A after the sentinel filter, split by
+date. The frame is written as parquet into the session's checkpoint folder
+before any fit: that cuts the window lineage, so the many passes of boosting
+and cross-validation re-read a materialised table instead of recomputing
+joins and windows, and a lost executor costs a re-read, not a recompute.
+
+Registered queries use few, shallow trees so the checks stay quick; the
+source's settings are the defaults of :mod:`panelcast.operators.ml`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelcast.operators import forecast as FC
+from panelcast.operators import metrics, ml
+from panelcast.operators.split import mark_split
+from panelcast.plans import panels
+from panelcast.plans.queries_panel import model_frame_a
+from panelcast.plans.registry import register
+from panelcast.session import materialize, scratch_path
+from panelcast.sources import sinks
+
+QUICK = {"max_iter": 5, "max_depth": 4, "step_size": 0.18}
+QUICK_REFIT = {"max_iter": 5, "max_depth": 4, "step_size": 0.13}
+QUICK_CV_DEPTHS = (2, 3)
+QUICK_CV_ITER = 3
+
+
+def training_frames(spark, sf_dir):
+    """``(train, test, features)`` over a checkpointed, split model frame."""
+    marked = materialize(mark_split(model_frame_a(spark, sf_dir)), "model-frame")
+    train = marked.where(F.col("is_train")).drop("is_train")
+    test = marked.where(~F.col("is_train")).drop("is_train")
+    return train, test, ml.feature_columns(train)
+
+
+def _first_fit(spark, sf_dir, **kw):
+    train, test, feats = training_frames(spark, sf_dir)
+    model = ml.fit_pipeline(train, feats, ml.gbt(**{**QUICK, **kw}))
+    return model, train, test, feats
+
+
+@register("gbt_fit_predict")
+def q_gbt_fit_predict(spark, sf_dir):
+    """Fit on train, predict test: ``(code, dt, Y, prediction)``."""
+    model, _, test, _ = _first_fit(spark, sf_dir)
+    return model.transform(test).select("code", "dt", "Y", "prediction")
+
+
+@register("gbt_mape_train_test")
+def q_gbt_mape_train_test(spark, sf_dir):
+    """Model MAPE on train and test, truth and prediction taken from the same row."""
+    model, train, test, _ = _first_fit(spark, sf_dir)
+    tr = model.transform(train).withColumn("split", F.lit("train"))
+    te = model.transform(test).withColumn("split", F.lit("test"))
+    both = tr.unionByName(te).select("split", "Y", "prediction")
+    return metrics.mape(both, by=["split"], decimals=4)
+
+
+@register("gbt_early_stop")
+def q_gbt_early_stop(spark, sf_dir):
+    """Early stopping on the latest dates of train (never on test)."""
+    train, test, feats = training_frames(spark, sf_dir)
+    train = ml.mark_validation_tail(train)
+    est = ml.gbt(max_iter=20, max_depth=4, step_size=0.18, validation_col="is_validation")
+    model = ml.fit_pipeline(train, feats, est)
+    return model.transform(test).select("code", "dt", "Y", "prediction")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """``(idx, name, score)`` of the first fit, highest score first."""
+    model, train, _, _ = _first_fit(spark, sf_dir)
+    assembled = model.stages[0].transform(train)
+    return ml.importance_table(spark, model.stages[-1].featureImportances, assembled)
+
+
+def _selected(spark, sf_dir, selector_type):
+    train, _, feats = training_frames(spark, sf_dir)
+    assembled = ml.assembler(feats).transform(train)
+    sel = ml.FeatureImpSelector(estimator=ml.gbt(**QUICK), selectorType=selector_type,
+                                numTopFeatures=int(len(feats) * ml.SELECT_FRACTION),
+                                threshold=ml.SELECT_THRESHOLD, outputCol="features_subset")
+    slicer = sel.fit(assembled)
+    names = {i: n for i, n in enumerate(feats)}
+    rows = [(rank, int(i), names[int(i)]) for rank, i in enumerate(slicer.getIndices())]
+    return spark.createDataFrame(rows, "rank int, idx int, name string")
+
+
+@register("feature_select_topn")
+def q_feature_select_topn(spark, sf_dir):
+    """Top ``int(0.7 * #features)`` features by importance."""
+    return _selected(spark, sf_dir, "numTopFeatures")
+
+
+@register("feature_select_threshold")
+def q_feature_select_threshold(spark, sf_dir):
+    """Features with importance strictly above 0.01."""
+    return _selected(spark, sf_dir, "threshold")
+
+
+@register("gbt_refit_selected")
+def q_gbt_refit_selected(spark, sf_dir):
+    """Refit on the features the first model split on; predict test."""
+    model, train, test, feats = _first_fit(spark, sf_dir)
+    assembled = model.stages[0].transform(train)
+    ranked = ml._ranked(model.stages[-1].featureImportances, assembled, "features")
+    keep = [feats[i] for i in ml.select_split_on(ranked)]
+    refit = ml.fit_pipeline(train, keep, ml.gbt(**QUICK_REFIT))
+    return refit.transform(test).select("code", "dt", "Y", "prediction")
+
+
+@register("gbt_selector_pipeline")
+def q_gbt_selector_pipeline(spark, sf_dir):
+    """``[assembler, importance selector, regressor on the subset]`` as one Pipeline."""
+    train, test, feats = training_frames(spark, sf_dir)
+    pipe = ml.selection_pipeline(feats, ml.gbt(**QUICK),
+                                 ml.gbt(**QUICK_REFIT, features_col="features_subset",
+                                        prediction_col="prediction_2"))
+    return pipe.fit(train).transform(test).select("code", "dt", "Y", "prediction_2")
+
+
+@register("gbt_cross_validate")
+def q_gbt_cross_validate(spark, sf_dir):
+    """3-fold CV over depth x rate, best model refit, predictions on test."""
+    train, test, feats = training_frames(spark, sf_dir)
+    cv = ml.cross_validator(feats, ml.gbt(max_iter=QUICK_CV_ITER), depths=QUICK_CV_DEPTHS)
+    model = cv.fit(train)
+    return model.transform(test).select("code", "dt", "Y", "prediction")
+
+
+@register("model_save_load")
+def q_model_save_load(spark, sf_dir):
+    """Save the fitted pipeline to the shared folder, load it, score test."""
+    model, _, test, _ = _first_fit(spark, sf_dir)
+    path = ml.save_model(model, scratch_path(spark, "gbt-model"))
+    loaded = ml.load_pipeline_model(path)
+    return loaded.transform(test).select("code", "dt", "Y", "prediction")
+
+
+def _forecast(spark, sf_dir):
+    model, _, _, _ = _first_fit(spark, sf_dir)
+    return FC.panel_forecast(panels.panel_a(spark, sf_dir), model)
+
+
+@register("forecast_all_codes")
+def q_forecast_all_codes(spark, sf_dir):
+    """History + literal extrapolation for every series, scored and unscaled."""
+    return _forecast(spark, sf_dir)
+
+
+@register("forecast_csv_sink")
+def q_forecast_csv_sink(spark, sf_dir):
+    """Forecast written as one CSV folder per series, read back."""
+    path = sinks.write_forecast_csv(_forecast(spark, sf_dir), scratch_path(spark, "forecast"))
+    return sinks.read_forecast_csv(spark, path)
+
+
+@register("forecast_mape_by_code")
+def q_forecast_mape_by_code(spark, sf_dir):
+    """Per-series MAPE of the model on the combined frame, position-wise as in the source."""
+    model, _, _, _ = _first_fit(spark, sf_dir)
+    feats = FC.forecast_features(panels.panel_a(spark, sf_dir))
+    scored = model.transform(feats)
+    return FC.positional_mape(scored, "prediction")

@@ -61,3 +61,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()``, but the re-read plan is a plain
+    parquet scan: columns are pruned, filters pushed down, and Catalyst does
+    not carry the original plan's constraints along (``checkpoint()`` does,
+    which is costly on plans with many derived columns).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
