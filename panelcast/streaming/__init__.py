@@ -1,0 +1,8 @@
+"""Streaming operators.
+
+The reference pipeline is batch only: it has no stream source, watermark,
+event-time window or stateful operator, so this package defines none. The
+panel operators are plain DataFrame transforms and contain no batch-only
+actions before their first window, which is where a streaming variant would
+have to start.
+"""
