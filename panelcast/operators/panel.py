@@ -85,6 +85,50 @@ def filter_code(panel: DataFrame, code: str) -> DataFrame:
     return panel.where(F.col("code") == F.lit(code))
 
 
-def top_k_rows(df: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """``orderBy(by).limit(k)``, planned as a TakeOrderedAndProject (no full sort)."""
+# Above this many candidate rows (k x input partitions) the single merge task
+# of an ordered limit becomes the bottleneck and the cutoff path is used.
+TOP_K_MERGE_ROWS = 50_000_000
+CUTOFF_ACCURACY = 100_000
+CUTOFF_GRID = [2.0 ** -j for j in range(48)]
+
+
+def top_k_rows(df: DataFrame, k: int, by: list[str],
+               merge_rows: int = TOP_K_MERGE_ROWS) -> DataFrame:
+    """The first ``k`` rows in ascending ``by`` order, exactly.
+
+    Small inputs take Spark's ordered limit (each task keeps its own top k,
+    one task merges them). When ``k x partitions`` exceeds ``merge_rows``
+    that merge would receive too many rows, so a cutoff on the leading sort
+    column is found first (:func:`top_k_cutoff`) and only rows at or below it
+    enter the ordered limit. Ties at the cutoff are all kept, and so are
+    nulls (an ascending order puts them first), so the result is the same
+    either way.
+    """
+    if k * df.rdd.getNumPartitions() <= merge_rows:
+        return df.orderBy(*by).limit(k)
+    cutoff = top_k_cutoff(df, by[0], k)
+    if cutoff is not None:
+        df = df.where(F.col(by[0]).isNull() | (F.col(by[0]) <= F.lit(cutoff)))
     return df.orderBy(*by).limit(k)
+
+
+def top_k_cutoff(df: DataFrame, col: str, k: int, accuracy: int = CUTOFF_ACCURACY):
+    """A value ``v`` with at least ``k`` non-null rows ``col <= v``, or None.
+
+    One aggregate pass (partial per task) returns the row count and
+    approximate percentiles on a geometric grid. ``percentile_approx`` bounds
+    the rank error by ``n / accuracy``, so the smallest grid point ``p`` with
+    ``p * n - n / accuracy - 1 >= k`` provably has ``k`` rows at or below it
+    while keeping only about ``k + 2n / accuracy`` rows. Only that one
+    aggregated row reaches the driver.
+    """
+    row = df.agg(F.count(col).alias("n"),
+                 F.percentile_approx(col, CUTOFF_GRID, accuracy).alias("q")).first()
+    n, qs = row["n"], row["q"]
+    if not n or qs is None:
+        return None
+    best = None
+    for p, v in zip(CUTOFF_GRID, qs):
+        if p * n - n / accuracy - 1 >= k:
+            best = v
+    return best

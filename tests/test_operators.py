@@ -214,3 +214,17 @@ def test_daily_spine_and_ffill(spark):
     assert got == [("A", D0, 1.0, 1.0), ("A", D0 + dt.timedelta(days=1), None, 1.0),
                    ("A", D0 + dt.timedelta(days=2), None, 1.0),
                    ("A", D0 + dt.timedelta(days=3), 4.0, 4.0), ("B", D0, 9.0, 9.0)]
+
+
+def test_top_k_cutoff_path_is_exact(spark):
+    import random
+    from panelcast.operators.panel import top_k_rows
+    rnd = random.Random(11)
+    rows = [(rnd.choice("abc"), None if i % 997 == 0 else rnd.randint(0, 500) / 10.0, i)
+            for i in range(20000)]
+    df = spark.createDataFrame(rows, "m string, value double, i int").repartition(16)
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0], r[2]))[:300]
+    plain = top_k_rows(df, 300, ["value", "m", "i"])
+    forced = top_k_rows(df, 300, ["value", "m", "i"], merge_rows=0)
+    for got in (plain, forced):
+        assert [tuple(r) for r in got.collect()] == [(a, b, c) for a, b, c in want]
