@@ -77,13 +77,59 @@ def scaled_series(panel: DataFrame, col: str = "Y", key: str = "code",
 
 CARRY = ("n", "xmin", "xmax")
 
+FORECAST_ROW = T.StructType([
+    T.StructField("k", T.IntegerType()),
+    T.StructField("dt", T.DateType()),
+    T.StructField("log_y", T.DoubleType()),
+])
 
-def _emit(df: DataFrame, k: Column, log_y: Column, key: str) -> DataFrame:
-    return (df.select(key, k.cast(T.IntegerType()).alias("k"),
-                      F.date_add("last_dt", k.cast(T.IntegerType())).alias("dt"),
-                      log_y.alias("log_y"), *CARRY)
-              .where(F.col("log_y").isNotNull())
-              .withColumn("Y", F.exp("log_y")))
+
+def _no_rows() -> Column:
+    return F.array().cast(T.ArrayType(FORECAST_ROW))
+
+
+def with_cycle(s: DataFrame, key: str = "code", order: tuple[str, ...] = ("dt",)) -> DataFrame:
+    """Adds the cycle's log product and whether every ratio of the cycle exists."""
+    wall = whole_series(key, order)
+    ok = F.min(F.when(F.col("rn") == 1, F.lit(True))
+               .otherwise(F.col("ratio").isNotNull())).over(wall)
+    return (s.withColumn("ln_cycle", F.last("ln_prefix").over(wall))
+             .withColumn("cycle_ok", ok))
+
+
+def forecast_rows(horizon: int = HORIZON_DAYS, cyclic: bool = False) -> Column:
+    """Per history row: the forecast rows it emits, ``array<struct<k, dt, log_y>>``.
+
+    Literal: row ``rn`` emits ``k = rn - 1`` (rows 2..min(horizon+1, n)).
+    Cyclic (needs :func:`with_cycle`): row ``rn`` (``m = rn - 1``) emits every
+    ``k = m + q n`` in 1..horizon.
+    """
+    last = F.log("last_y")
+    if not cyclic:
+        k = (F.col("rn") - 1).cast(T.IntegerType())
+        valid = ((F.col("rn") >= 2) & (k <= horizon) & F.col("ratio").isNotNull()
+                 & F.col("last_y").isNotNull())
+        one = F.struct(k.alias("k"), F.date_add("last_dt", k).alias("dt"),
+                       (last + F.col("ln_prefix")).alias("log_y"))
+        return F.when(valid, F.array(one)).otherwise(_no_rows())
+    m = F.col("rn") - 1
+    q_lo = F.when(m == 0, F.lit(1)).otherwise(F.lit(0))
+    q_hi = F.floor((F.lit(horizon) - m) / F.col("n")).cast(T.IntegerType())
+    qs = F.when(q_hi >= q_lo, F.sequence(q_lo, q_hi)).otherwise(
+        F.array().cast(T.ArrayType(T.IntegerType())))
+
+    def row(q):
+        k = (m + q * F.col("n")).cast(T.IntegerType())
+        return F.struct(k.alias("k"), F.date_add("last_dt", k).alias("dt"),
+                        (last + q * F.col("ln_cycle") + F.col("ln_prefix")).alias("log_y"))
+
+    valid = F.col("cycle_ok") & F.col("last_y").isNotNull()
+    return F.when(valid, F.transform(qs, row)).otherwise(_no_rows())
+
+
+def _explode_forecast(s: DataFrame, rows: Column, key: str) -> DataFrame:
+    f = s.select(key, *CARRY, F.explode(rows).alias("f"))
+    return f.select(key, "f.k", "f.dt", "f.log_y", *CARRY, F.exp("f.log_y").alias("Y"))
 
 
 def ratio_forecast(panel: DataFrame, horizon: int = HORIZON_DAYS, col: str = "Y",
@@ -102,32 +148,38 @@ def ratio_forecast_cyclic(panel: DataFrame, horizon: int = HORIZON_DAYS, col: st
 
 
 def forecast_from_state(s: DataFrame, horizon: int = HORIZON_DAYS, key: str = "code") -> DataFrame:
-    s = s.where((F.col("rn") >= 2) & (F.col("rn") - 1 <= horizon))
-    # r[0] is missing, so a missing ratio anywhere in 1..k (only possible for a
-    # constant or broken series) makes the value missing too.
-    log_y = F.when(F.col("ratio").isNotNull(), F.log("last_y") + F.col("ln_prefix"))
-    return _emit(s, F.col("rn") - 1, log_y, key)
+    return _explode_forecast(s, forecast_rows(horizon), key)
 
 
 def cyclic_forecast_from_state(s: DataFrame, horizon: int = HORIZON_DAYS, key: str = "code",
                                order: tuple[str, ...] = ("dt",)) -> DataFrame:
-    wall = whole_series(key, order)
-    s = s.withColumn("ln_cycle", F.last("ln_prefix").over(wall))
-    m = F.col("rn") - 1
-    q_lo = F.when(m == 0, F.lit(1)).otherwise(F.lit(0))
-    q_hi = F.floor((F.lit(horizon) - m) / F.col("n")).cast(T.IntegerType())
-    qs = F.when(q_hi >= q_lo, F.sequence(q_lo, q_hi)).otherwise(
-        F.array().cast(T.ArrayType(T.IntegerType())))
-    # Every ratio of the cycle must be present (a constant series has none).
-    ok = F.min(F.when(F.col("rn") == 1, F.lit(True)).otherwise(F.col("ratio").isNotNull())).over(wall)
-    s = (s.withColumn("_ok", ok)
-          .where(F.col("_ok") & F.col("last_y").isNotNull())
-          .withColumn("q", F.explode(qs)))
-    k = m + F.col("q") * F.col("n")
-    log_y = F.log("last_y") + F.col("q") * F.col("ln_cycle") + F.col("ln_prefix")
-    return _emit(s, k, log_y, key)
+    return _explode_forecast(with_cycle(s, key, order), forecast_rows(horizon, True), key)
+
+
+def history_with_forecast(s: DataFrame, horizon: int = HORIZON_DAYS, cyclic: bool = False,
+                          key: str = "code", order: tuple[str, ...] = ("dt",)) -> DataFrame:
+    """Each history row followed by the forecast rows it emits, in one pass.
+
+    Output ``(key, dt, Y, n_hist, xmin, xmax, is_forecast)``. The explode keeps
+    the state's partitioning by ``key``, so a following per-series window
+    needs no further exchange.
+    """
+    if cyclic:
+        s = with_cycle(s, key, order)
+    hist = F.array(F.struct(F.col("dt").alias("dt"), F.col("Y").alias("Y"),
+                            F.lit(False).alias("is_forecast")))
+    fc = F.transform(forecast_rows(horizon, cyclic),
+                     lambda f: F.struct(f["dt"].alias("dt"), F.exp(f["log_y"]).alias("Y"),
+                                        F.lit(True).alias("is_forecast")))
+    out = s.select(key, F.col("n").alias("n_hist"), "xmin", "xmax",
+                   F.explode(F.concat(hist, fc)).alias("r"))
+    return out.select(key, "r.dt", "r.Y", "n_hist", "xmin", "xmax", "r.is_forecast")
 
 
 def append_forecast(history: DataFrame, forecast: DataFrame) -> DataFrame:
-    """History rows followed by forecast rows, matched by column name."""
+    """History rows followed by forecast rows, matched by column name.
+
+    For two separately derived frames; :func:`history_with_forecast` builds
+    the same rows from one series state without a second derivation.
+    """
     return history.unionByName(forecast, allowMissingColumns=True)

@@ -30,14 +30,7 @@ CARRY = ("n_hist", "xmin", "xmax")
 def history_and_forecast(panel: DataFrame, horizon: int = X.HORIZON_DAYS,
                          cyclic: bool = False) -> DataFrame:
     """``(code, dt, Y, n_hist, xmin, xmax, is_forecast)``: scaled history + forecast."""
-    state = X.scaled_series(panel)
-    hist = state.select("code", "dt", "Y", F.col("n").alias("n_hist"), "xmin", "xmax",
-                        F.lit(False).alias("is_forecast"))
-    fc = (X.cyclic_forecast_from_state(state, horizon) if cyclic
-          else X.forecast_from_state(state, horizon))
-    fc = fc.select("code", "dt", "Y", F.col("n").alias("n_hist"), "xmin", "xmax",
-                   F.lit(True).alias("is_forecast"))
-    return X.append_forecast(hist, fc)
+    return X.history_with_forecast(X.scaled_series(panel), horizon, cyclic)
 
 
 def forecast_features(panel: DataFrame, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
