@@ -34,13 +34,15 @@ def clean_measurements(raw: DataFrame, date_col: str = "time_key",
                        keep: tuple[str, ...] = ()) -> DataFrame:
     """Key, rename and clean a raw table into ``(date, market, value)``.
 
-    ``keep`` names extra columns (for example an input ordinal) to carry along.
+    One projection (``market = site || node``, renames, NaN -> null) and one
+    ``dropna``. ``keep`` names extra columns (e.g. an input ordinal) to carry.
     """
-    df = key_market(raw, site_col, node_col)
-    df = df.withColumnsRenamed({date_col: "date", load_col: "value"})
-    df = df.withColumn("value", nan_to_null(F.col("value").cast(T.DoubleType())))
-    df = drop_missing(df, subset=["date", "market", "value", *keep])
-    return df.select("date", "market", "value", *keep)
+    df = raw.select(
+        F.col(date_col).alias("date"),
+        F.concat(F.col(site_col).cast(T.StringType()), F.col(node_col)).alias("market"),
+        nan_to_null(F.col(load_col).cast(T.DoubleType())).alias("value"),
+        *keep)
+    return drop_missing(df)
 
 
 def to_panel(clean: DataFrame, date_format: str | None = None,

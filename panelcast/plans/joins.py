@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 # Dimension tables at or below this many rows are broadcast; larger ones take
 # the shuffle join Spark plans by default.
-DEFAULT_BROADCAST_ROWS = 100_000
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
+_checked: dict[tuple[int, int], bool] = {}
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the side really is small.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the
-    frame is returned unhinted and Spark plans a sort-merge join (with AQE
-    free to split skewed partitions).
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has no more than ``max_rows`` rows.
+
+    ``select().offset(max_rows).isEmpty()`` pulls at most ``max_rows + 1``
+    zero-column rows and scans partitions incrementally (one, then a growing
+    number), so on a large table it stops after the first partitions instead
+    of counting everything. The answer is memoised per analysed plan.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), int(max_rows))
+    if key not in _checked:
+        _checked[key] = df.select().offset(int(max_rows)).isEmpty()
+    return _checked[key]
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Broadcast a global aggregate (one row by construction, no check needed)."""
-    return F.broadcast(df)
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after checking the side really is small.
+
+    Beyond the bound the frame is returned unhinted and Spark plans a
+    sort-merge join (with AQE free to split skewed partitions).
+    """
+    return F.broadcast(df) if has_at_most(df, max_rows) else df

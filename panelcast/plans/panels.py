@@ -24,17 +24,19 @@ def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer x nation -> (c_custkey, sites, node_desc)."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = broadcast_if_bounded(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    return (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-            .select("c_custkey", F.col("n_name").alias("sites"),
-                    F.col("c_mktsegment").alias("node_desc")))
+    dim = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+           .select("c_custkey", F.col("n_name").alias("sites"),
+                   F.col("c_mktsegment").alias("node_desc")))
+    return broadcast_if_bounded(dim)
 
 
 def order_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw measurement table ``(time_key, sites, node_desc, ds_load)`` from orders.
 
-    ``orders`` is the large side: only three of its columns are read and it
-    meets the customer dimension in a shuffle join on the customer key that
-    Spark turns into a broadcast join when the dimension is small enough.
+    ``orders`` is the large side: only three of its columns are read. The
+    customer dimension is broadcast when a row-count check bounds it;
+    otherwise both sides shuffle on the customer key (sort-merge join, AQE
+    splits a skewed key). The fact table is never the broadcast side.
     """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     cust = customer_dim(spark, sf_dir)
