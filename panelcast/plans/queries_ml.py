@@ -30,8 +30,12 @@ QUICK_CV_ITER = 3
 
 
 def training_frames(spark, sf_dir):
-    """``(train, test, features)`` over a checkpointed, split model frame."""
-    marked = materialize(mark_split(model_frame_a(spark, sf_dir)), "model-frame")
+    """``(train, test, features)`` over the materialised model frame.
+
+    The split bounds are then a scalar subquery over one column of the
+    written table, instead of a second pass over the window plan.
+    """
+    marked = mark_split(materialize(model_frame_a(spark, sf_dir), "model-frame"))
     train = marked.where(F.col("is_train")).drop("is_train")
     test = marked.where(~F.col("is_train")).drop("is_train")
     return train, test, ml.feature_columns(train)
