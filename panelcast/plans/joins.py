@@ -33,3 +33,25 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS)
     sort-merge join (with AQE free to split skewed partitions).
     """
     return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def dimension_left_join(dim: DataFrame, fact: DataFrame, dim_key: str, fact_key: str,
+                        max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``dim LEFT JOIN fact`` that stays balanced when one key is hot.
+
+    A plain outer join keeps every dimension row, so Spark can neither
+    broadcast the dimension nor let AQE split a skewed key on the fact side.
+    Written instead as
+
+    * matched rows: ``fact JOIN dim`` (inner: the dimension is broadcast when
+      bounded, otherwise AQE may split a hot fact key), and
+    * unmatched rows: ``dim LEFT ANTI JOIN distinct(fact keys)``, where the
+      distinct is a partial aggregate, so a hot key arrives as one row.
+
+    The union has the rows and columns of the outer join; fact columns are
+    null on unmatched rows.
+    """
+    matched = fact.join(broadcast_if_bounded(dim, max_rows), fact[fact_key] == dim[dim_key])
+    keys = fact.select(F.col(fact_key).alias("__fk")).distinct()
+    unmatched = dim.join(keys, dim[dim_key] == keys["__fk"], "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.panel import build_panel
-from panelcast.plans.joins import broadcast_if_bounded
+from panelcast.plans.joins import broadcast_if_bounded, dimension_left_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
            .select("c_custkey", F.col("n_name").alias("sites"),
                    F.col("c_mktsegment").alias("node_desc")))
-    return broadcast_if_bounded(dim)
+    return dim
 
 
 def order_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def order_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits a skewed key). The fact table is never the broadcast side.
     """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
-    cust = customer_dim(spark, sf_dir)
+    cust = broadcast_if_bounded(customer_dim(spark, sf_dir))
     return (orders.join(cust, orders.o_custkey == cust.c_custkey)
             .select(F.col("o_orderdate").alias("time_key"), "sites", "node_desc",
                     F.col("o_totalprice").alias("ds_load")))
@@ -49,7 +49,7 @@ def customer_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer with its orders, kept when it has none (load and date null)."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     cust = customer_dim(spark, sf_dir)
-    return (cust.join(orders, cust.c_custkey == orders.o_custkey, "left")
+    return (dimension_left_join(cust, orders, "c_custkey", "o_custkey")
             .select(F.col("o_orderdate").alias("time_key"), "sites", "node_desc",
                     F.col("o_totalprice").alias("ds_load")))
 

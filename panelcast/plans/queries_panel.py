@@ -10,6 +10,7 @@ from panelcast.functions.calendar_features import CALENDAR_COLUMNS, add_calendar
 from panelcast.functions.labels import FAULT_DATE_FORMAT, ROW_DATE_FORMAT, label_rows
 from panelcast.operators import lags, metrics, panel as P, scale, series, split
 from panelcast.plans import panels
+from panelcast.plans.joins import broadcast_if_bounded
 from panelcast.plans.oracle_sql import calendar_select, lag_select, with_ctes
 from panelcast.plans.registry import register
 from panelcast.session import scratch_path
@@ -64,6 +65,7 @@ def q_panel_sql_view(spark, sf_dir):
     """Warehouse path: temp view -> SQL clean / cast / coalesce / sum -> market key."""
     orders = panels.table(spark, sf_dir, "orders")
     customer = panels.table(spark, sf_dir, "customer")
+    customer = broadcast_if_bounded(customer)
     raw = (orders.join(customer, orders.o_custkey == customer.c_custkey)
            .select(F.col("o_orderdate").cast("date").alias("dt"),
                    F.col("c_nationkey").alias("site_id"),
