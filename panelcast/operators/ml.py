@@ -76,6 +76,20 @@ def mark_validation_tail(train: DataFrame, fraction: float = 0.8,
     return marked.withColumn(out, ~F.col("_fit")).drop("_fit")
 
 
+def mark_time_folds(df: DataFrame, folds: int = CV_FOLDS, dt: str = "dt",
+                    out: str = "fold") -> DataFrame:
+    """Fold index by contiguous date ranges (``0 .. folds-1``), for ``foldCol``.
+
+    The date span is split into ``folds`` equal ranges; the bounds are a
+    one-row aggregate read as scalar subqueries (no collect, no join).
+    """
+    b = df.agg(F.min(dt).alias("lo"), F.max(dt).alias("hi"))
+    lo = b.select("lo").scalar()
+    span = b.select(F.datediff("hi", "lo") + 1).scalar()
+    idx = F.floor(F.datediff(F.col(dt), lo) * F.lit(folds) / span).cast(T.IntegerType())
+    return df.withColumn(out, idx)
+
+
 def fit_pipeline(train: DataFrame, features: list[str], estimator,
                  features_col: str = "features") -> PipelineModel:
     return Pipeline(stages=[assembler(features, features_col), estimator]).fit(train)

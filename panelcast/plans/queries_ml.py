@@ -136,6 +136,17 @@ def q_gbt_cross_validate(spark, sf_dir):
     return model.transform(test).select("code", "dt", "Y", "prediction")
 
 
+@register("gbt_cross_validate_time_folds")
+def q_gbt_cross_validate_time_folds(spark, sf_dir):
+    """CV with folds that are contiguous date ranges of train (``foldCol``)."""
+    train, test, feats = training_frames(spark, sf_dir)
+    train = ml.mark_time_folds(train)
+    cv = ml.cross_validator(feats, ml.gbt(max_iter=QUICK_CV_ITER), depths=QUICK_CV_DEPTHS,
+                            fold_col="fold")
+    model = cv.fit(train)
+    return model.transform(test).select("code", "dt", "Y", "prediction")
+
+
 @register("model_save_load")
 def q_model_save_load(spark, sf_dir):
     """Save the fitted pipeline to the shared folder, load it, score test."""

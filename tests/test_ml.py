@@ -73,3 +73,14 @@ def test_pipeline_cv_save_load(spark, tmp_dir):
     path = ml.save_model(model, f"{tmp_dir}/cv")
     loaded = ml.load_cv_model(path)
     assert loaded.transform(df).count() == 200
+
+
+def test_time_folds(spark):
+    import datetime as dt
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i),) for i in range(30)]
+    out = {r["dt"]: r["fold"] for r in ml.mark_time_folds(
+        spark.createDataFrame(rows, "dt date"), 3).collect()}
+    assert sorted(set(out.values())) == [0, 1, 2]
+    assert out[dt.date(2020, 1, 1)] == 0 and out[dt.date(2020, 1, 30)] == 2
+    assert [out[dt.date(2020, 1, 1) + dt.timedelta(days=i)] for i in range(30)] == \
+        [0] * 10 + [1] * 10 + [2] * 10
