@@ -1,4 +1,4 @@
-"""Compare a Spark result with a DuckDB result: rows, columns, values.
+"""Test helper: compare a Spark result with a DuckDB result (rows, columns, values).
 
 Used by the tests. Values are compared after sorting columns by name and rows
 by all columns, with dates and timestamps normalised to Python objects.

@@ -7,7 +7,7 @@ import os
 import pytest
 
 from conftest import ROOT, SF_SMALL
-from panelcast.plans.compare import compare, duckdb_con
+from oracle_compare import compare, duckdb_con
 from panelcast.plans.registry import oracle_sql, queries
 
 ORACLES = oracle_sql()
