@@ -28,13 +28,3 @@ def parse_date(c: str | Column, fmt: str | None = None) -> Column:
     if fmt is None:
         return c.cast(T.DateType())
     return F.try_to_date(c, fmt)
-
-
-def safe_ratio(num: Column, den: Column) -> Column:
-    """``num / den`` with null instead of an ANSI error when ``den`` is 0."""
-    return F.try_divide(num, den)
-
-
-def truncate_nonneg(c: Column) -> Column:
-    """``int(x)`` for non-negative x (truncation equals floor there)."""
-    return F.floor(c).cast(T.IntegerType())

@@ -228,3 +228,22 @@ def test_top_k_cutoff_path_is_exact(spark):
     forced = top_k_rows(df, 300, ["value", "m", "i"], merge_rows=0)
     for got in (plain, forced):
         assert [tuple(r) for r in got.collect()] == [(a, b, c) for a, b, c in want]
+
+
+def test_key_market_append_and_table_source(spark):
+    from panelcast.operators.panel import key_market
+    from panelcast.sources.readers import read_table, register_view
+    raw = spark.createDataFrame([(131, "JC05", 1.0), (7, None, 2.0)],
+                                "sites int, node_desc string, v double")
+    keyed = key_market(raw).collect()
+    assert [r["market"] for r in keyed] == ["131JC05", None]
+    assert keyed[0].asDict().keys() == {"v", "market"}
+
+    hist = _series(spark, [1, 2])
+    fc = spark.createDataFrame([("A", D0 + dt.timedelta(days=5), 9.0, 1)],
+                               "code string, dt date, Y double, k int")
+    both = X.append_forecast(hist, fc).orderBy("dt").collect()
+    assert [r["Y"] for r in both] == [1.0, 2.0, 9.0] and both[0]["k"] is None
+
+    name = register_view(hist, "hist_view_test")
+    assert read_table(spark, name).count() == 2
