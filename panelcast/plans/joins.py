@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # the shuffle join Spark plans by default.
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
-_checked: dict[tuple[int, int], bool] = {}
+_checked: dict[tuple[int, int], list[tuple[DataFrame, bool]]] = {}
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -18,12 +18,16 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     ``select().offset(max_rows).isEmpty()`` pulls at most ``max_rows + 1``
     zero-column rows and scans partitions incrementally (one, then a growing
     number), so on a large table it stops after the first partitions instead
-    of counting everything. The answer is memoised per analysed plan.
+    of counting everything. The answer is memoised per analysed plan (hash
+    lookup confirmed with ``sameSemantics``).
     """
-    key = (df.semanticHash(), int(max_rows))
-    if key not in _checked:
-        _checked[key] = df.select().offset(int(max_rows)).isEmpty()
-    return _checked[key]
+    seen = _checked.setdefault((df.semanticHash(), int(max_rows)), [])
+    for other, answer in seen:
+        if df.sameSemantics(other):
+            return answer
+    answer = df.select().offset(int(max_rows)).isEmpty()
+    seen.append((df, answer))
+    return answer
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

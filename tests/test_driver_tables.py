@@ -66,3 +66,13 @@ def test_lag_row_count_property(spark, lengths, n):
     panel = spark.createDataFrame(rows, "code string, dt int, Y double")
     want = sum(m - n for m in lengths if m >= n + 2)
     assert lags.lag_frame(panel, n).count() == want
+
+
+def test_has_at_most(spark):
+    from panelcast.plans.joins import broadcast_if_bounded, has_at_most
+    small = spark.range(10)
+    assert has_at_most(small, 10) and not has_at_most(small, 9)
+    assert has_at_most(spark.range(10), 10)          # memoised, same plan
+    big = spark.range(0, 100000, 1, 16)
+    assert not has_at_most(big, 50)
+    assert broadcast_if_bounded(big, 50) is big
