@@ -7,7 +7,11 @@ Window node, however many columns it has.
 
 Scale note: a panel holds one row per (code, date) after aggregation, so the
 rows one window task sees for a code are bounded by the number of distinct
-dates, not by the raw data volume behind that code.
+dates, not by the raw data volume behind that code. For un-aggregated input,
+where one series may hold a large share of all rows, ``strategy="balanced"``
+computes the same frame without ever giving a whole series to one task (see
+:func:`series_positions`); ``strategy="auto"`` picks it when the largest
+series exceeds ``BALANCED_MIN_ROWS``.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ SENTINEL_THRESHOLD = -10000000.0
 DEFAULT_TRACKING_DAYS = 5
 
 MODES = ("backward", "forward")
+STRATEGIES = ("window", "balanced", "auto")
+# Series longer than this switch "auto" to the balanced strategy.
+BALANCED_MIN_ROWS = 5_000_000
 
 
 def lag_name(col: str, i: int) -> str:
@@ -51,7 +58,8 @@ def value_columns(df: DataFrame, key: str = "code",
 def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
               mode: str = "backward", drop_null: bool = True,
               columns: list[str] | None = None, key: str = "code",
-              order: tuple[str, ...] = ("dt",), carry: tuple[str, ...] = ()) -> DataFrame:
+              order: tuple[str, ...] = ("dt",), carry: tuple[str, ...] = (),
+              strategy: str = "window") -> DataFrame:
     """Shift every value column 0..N rows within each series.
 
     For column ``c`` and ``i`` in ``0..N`` emits ``c_{iii}_day_before``: the
@@ -61,11 +69,25 @@ def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
     rows of each series) are dropped. Shifted columns are doubles, ordered
     lexicographically after ``key, dt``; ``carry`` columns (constant per
     series, e.g. scaling bounds) pass through unshifted at the end.
+
+    ``strategy="window"`` evaluates everything in one Window node per series;
+    ``"balanced"`` uses positions and a keyed regroup instead, so no task
+    holds a whole series; ``"auto"`` checks the largest series first.
     """
     if mode not in MODES:
         raise ValueError("shift mode must be 'forward' or 'backward'")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
     n = int(tracking_days)
     cols = columns if columns is not None else value_columns(df, key, order)
+    if strategy == "auto":
+        strategy = "balanced" if largest_series(df, key) > BALANCED_MIN_ROWS else "window"
+    if strategy == "balanced":
+        framed = _balanced_frame(df, n, mode, cols, key, order, carry)
+        names = sorted(lag_name(c, i) for c in cols for i in range(n + 1))
+        if drop_null:
+            framed = framed.dropna(how="any", subset=names)
+        return framed.select(key, "dt", *names, *carry)
     w = series_window(key, order)
     shift = F.lag if mode == "backward" else F.lead
     shifted: dict[str, Column] = {}
@@ -82,6 +104,72 @@ def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
     return framed.select(key, "dt", *names, *carry)
 
 
+def largest_series(df: DataFrame, key: str = "code") -> int:
+    """Row count of the longest series (one partial aggregate; one number returned)."""
+    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
+    return int(top or 0)
+
+
+def series_positions(df: DataFrame, key: str = "code", order: tuple[str, ...] = ("dt",),
+                     partitions: int | None = None, out: str = "_pos") -> DataFrame:
+    """1-based row number within each series, without a per-series task.
+
+    Rows are range-partitioned on ``(key, *order)``, so every partition holds
+    a contiguous slice of the global order and a long series spreads over
+    many partitions. Rows are numbered inside each (partition, series) piece,
+    and each piece adds the row count of the same series' earlier pieces
+    (a running sum over the small table of piece sizes).
+
+    The numbered pieces are written once under the checkpoint folder and
+    read back by both branches: range bounds come from sampling, and two
+    separately planned exchanges may sample differently, so partition ids
+    must come from a single evaluation.
+    """
+    from panelcast.session import materialize
+
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(p, key, *order).withColumn("_pid", F.spark_partition_id())
+    local = materialize(ranged.withColumn(
+        "_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order))),
+        "series-positions")
+    sizes = local.groupBy("_pid", key).agg(F.max("_lrn").alias("_c"))
+    earlier = (Window.partitionBy(key).orderBy("_pid")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_pid", key, F.coalesce(F.sum("_c").over(earlier), F.lit(0))
+                           .alias("_off"))
+    return (local.join(offsets, ["_pid", key])
+            .withColumn(out, F.col("_off") + F.col("_lrn"))
+            .drop("_pid", "_lrn", "_off"))
+
+
+def _balanced_frame(df: DataFrame, n: int, mode: str, cols: list[str], key: str,
+                    order: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
+    """Lag frame via positions: each row sends its values to the ``N + 1`` rows
+    that need them and every target row gathers them with one keyed
+    aggregate on ``(key, position)``. Copies of neighbouring rows sit in the
+    same task, so the partial aggregate combines most of them before the
+    shuffle. Series sizes (one row per series) join back for the
+    short-series rule, broadcast when bounded."""
+    from panelcast.plans.joins import broadcast_if_bounded
+
+    extra_order = [c for c in order if c != "dt"]
+    base = df.select(key, "dt", *extra_order, *cols, *carry)
+    pos = series_positions(base, key, order)
+    step = 1 if mode == "backward" else -1
+    copies = pos.select(key, "dt", *cols, *carry, "_pos",
+                        F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_i"))
+    copies = copies.withColumn("_to", F.col("_pos") + F.col("_i") * step)
+    own = [F.max(F.when(F.col("_i") == 0, F.col(x))).alias(x) for x in ("dt", *carry)]
+    shifted = [F.max(F.when(F.col("_i") == i, F.col(c).cast(T.DoubleType()))).alias(lag_name(c, i))
+               for c in cols for i in range(n + 1)]
+    gathered = (copies.groupBy(key, "_to")
+                .agg(F.max(F.when(F.col("_i") == 0, F.lit(1))).alias("_self"), *own, *shifted)
+                .where(F.col("_self") == 1))
+    sizes = pos.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return (gathered.join(broadcast_if_bounded(sizes), key)
+            .where(F.col("_n") >= n + 2))
+
+
 def short_series_filter(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
                         key: str = "code", order: tuple[str, ...] = ("dt",)) -> DataFrame:
     """Keep only series with at least ``N + 2`` rows."""

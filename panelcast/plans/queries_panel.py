@@ -165,6 +165,30 @@ def q_lead_frame_forward(spark, sf_dir):
     return lag_frame_a(spark, sf_dir, mode="forward")
 
 
+_RAW_LAG_CTE = {
+    "raw": ("SELECT n_name || c_mktsegment AS code, CAST(o_orderdate AS DATE) AS dt, "
+            "o_totalprice AS Y, o_orderkey AS ok FROM orders "
+            "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"),
+    "cal": calendar_select("raw", "code, dt, Y, ok"),
+}
+_RAW_LAG, _ = lag_select("cal", FEATURE_BASE, N_LAGS, order="dt, ok")
+
+
+@register("lag_frame_raw_balanced", with_ctes(_RAW_LAG_CTE, _RAW_LAG))
+def q_lag_frame_raw_balanced(spark, sf_dir):
+    """Lag frame over un-aggregated order rows (ties ordered by order key),
+    computed with the balanced strategy: no series is held by one task."""
+    orders = panels.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    cust = broadcast_if_bounded(panels.customer_dim(spark, sf_dir))
+    raw = (orders.join(cust, orders.o_custkey == cust.c_custkey)
+           .select(F.concat("sites", "node_desc").alias("code"),
+                   F.col("o_orderdate").cast("date").alias("dt"),
+                   F.col("o_totalprice").alias("Y"), F.col("o_orderkey").alias("ok")))
+    return lags.lag_frame(add_calendar_features(raw), N_LAGS, columns=FEATURE_BASE,
+                          order=("dt", "ok"), strategy="balanced")
+
+
 _LAG_B, _ = lag_select("cal", FEATURE_BASE, N_LAGS)
 
 

@@ -247,3 +247,36 @@ def test_key_market_append_and_table_source(spark):
 
     name = register_view(hist, "hist_view_test")
     assert read_table(spark, name).count() == 2
+
+
+def _frame_rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("mode,drop_null", [("backward", True), ("forward", True),
+                                            ("backward", False)])
+def test_balanced_lag_frame_matches_window(spark, mode, drop_null):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    # One hot series with a third of the rows, many short ones, repeated dates.
+    for i in range(600):
+        rows.append(("hot", D0 + dt.timedelta(days=i // 3), float(rnd.randint(1, 99)), i))
+    for c in range(40):
+        for j in range(rnd.randint(1, 30)):
+            rows.append((f"s{c}", D0 + dt.timedelta(days=j), float(rnd.randint(1, 99)), 1000 + c * 100 + j))
+    df = spark.createDataFrame(rows, "code string, dt date, Y double, o int")
+    kw = dict(mode=mode, drop_null=drop_null, columns=["Y"], order=("dt", "o"))
+    window = lags.lag_frame(df, 3, **kw)
+    balanced = lags.lag_frame(df, 3, strategy="balanced", **kw)
+    assert _frame_rows(window) == _frame_rows(balanced)
+    assert window.columns == balanced.columns
+    auto = lags.lag_frame(df, 3, strategy="auto", **kw)
+    assert _frame_rows(auto) == _frame_rows(window)
+
+
+def test_series_positions(spark):
+    rows = [("a", i) for i in range(50)] + [("b", i) for i in range(7)]
+    df = spark.createDataFrame(rows, "code string, dt int")
+    got = lags.series_positions(df, order=("dt",), partitions=6).collect()
+    assert all(r["_pos"] == r["dt"] + 1 for r in got)
