@@ -127,7 +127,9 @@ def series_positions(df: DataFrame, key: str = "code", order: tuple[str, ...] =
     """
     from panelcast.session import materialize
 
-    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # At least as many slices as input splits, so a slice stays split-sized.
+    p = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                          df.rdd.getNumPartitions())
     ranged = df.repartitionByRange(p, key, *order).withColumn("_pid", F.spark_partition_id())
     local = materialize(ranged.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order))),
