@@ -280,3 +280,25 @@ def test_series_positions(spark):
     df = spark.createDataFrame(rows, "code string, dt int")
     got = lags.series_positions(df, order=("dt",), partitions=6).collect()
     assert all(r["_pos"] == r["dt"] + 1 for r in got)
+
+
+@pytest.mark.parametrize("n_hist,expected", [(2, 0), (3, 0), (4, 2), (6, 6), (9, 12)])
+def test_forecast_frame_short_series(spark, n_hist, expected):
+    from panelcast.operators import forecast as FC
+    vals = [10, 40, 15, 70, 20, 90, 35, 60, 25][:n_hist]
+    feats = FC.forecast_features(_series(spark, vals, step=7), 5)
+    assert feats.count() == expected          # 2n - 1 - N rows once n >= 4, else none
+
+
+def test_score_with_unscaled_features(spark):
+    from pyspark.ml.feature import SQLTransformer
+    from panelcast.operators import forecast as FC
+    vals = [10.0, 40.0, 15.0, 70.0, 20.0, 90.0, 35.0, 60.0]
+    feats = FC.forecast_features(_series(spark, vals, step=7), 5)
+    naive = SQLTransformer(statement="SELECT *, Y_001_day_before AS prediction FROM __THIS__")
+    raw = FC.score_and_unscale(feats, naive, scale_for_model=False)
+    hist = raw.orderBy("dt").limit(3).collect()
+    # History rows 6..8 see the original values of rows 5..7 as their lag 1.
+    assert [round(r["prediction"], 9) for r in hist] == [20.0, 90.0, 35.0]
+    scaled = FC.score_and_unscale(feats, naive).orderBy("dt").limit(3).collect()
+    assert [round(r["unscale_pred"], 9) for r in scaled] == [20.0, 90.0, 35.0]
