@@ -20,6 +20,7 @@ HEADLINE = [
     "panel_sum",
     "calendar_features",
     "lag_frame_backward",
+    "lag_frame_raw_balanced",
     "short_series_filter",
     "ffill_series",
     "time_split_train",
