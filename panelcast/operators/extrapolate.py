@@ -51,13 +51,17 @@ def step_ratios(df: DataFrame, col: str = "Y", key: str = "code",
 
 
 def scaled_series(panel: DataFrame, col: str = "Y", key: str = "code",
-                  order: tuple[str, ...] = ("dt",), scale: bool = True) -> DataFrame:
+                  order: tuple[str, ...] = ("dt",), scale: bool = True,
+                  strategy: str = "window") -> DataFrame:
     """Series state used by both forecasts, all from one window specification.
 
     Columns: key, dt, Y (the scaled value when ``scale``), xmin, xmax, rn, n,
     last_dt, last_y, ratio_raw, ratio, ln_prefix (sum of log ratios of rows
-    2..rn; 0 for row 1).
+    2..rn; 0 for row 1). ``strategy="balanced"`` computes the same state
+    without any per-series task (for un-aggregated input with a hot series).
     """
+    if strategy == "balanced":
+        return _scaled_series_balanced(panel, col, key, order, scale)
     w = series_window(key, order)
     wall = whole_series(key, order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -88,8 +92,46 @@ def _no_rows() -> Column:
     return F.array().cast(T.ArrayType(FORECAST_ROW))
 
 
+def _scaled_series_balanced(panel: DataFrame, col: str, key: str,
+                            order: tuple[str, ...], scale: bool) -> DataFrame:
+    """The series state of :func:`scaled_series` from keyed operations only.
+
+    Exact row positions (:func:`series_positions`), per-series statistics as
+    one partial aggregate joined back (broadcast when bounded), the previous
+    value by an equi-join on (series, position), and the log-ratio prefix by
+    a block-decomposed running sum. The cycle columns are included.
+    """
+    from panelcast.operators.lags import running_total, series_positions
+    from panelcast.plans.joins import broadcast_if_bounded
+
+    extra = [c for c in order if c != "dt"]
+    pos = series_positions(panel.select(key, "dt", *extra, F.col(col).alias("_raw")),
+                           key, order, out="rn")
+    stats = pos.groupBy(key).agg(
+        F.min("_raw").alias("xmin"), F.max("_raw").alias("xmax"),
+        F.count(F.lit(1)).alias("n"), F.max_by("dt", "rn").alias("last_dt"),
+        F.max_by("_raw", "rn").alias("_last_raw"))
+    df = pos.join(broadcast_if_bounded(stats), key)
+    lo, hi = F.col("xmin"), F.col("xmax")
+    y = range_scale(F.col("_raw"), lo, hi) if scale else F.col("_raw")
+    last = range_scale(F.col("_last_raw"), lo, hi) if scale else F.col("_last_raw")
+    df = df.withColumn("Y", y).withColumn("last_y", last).drop("_last_raw")
+    prev = df.select(key, (F.col("rn") + 1).alias("rn"), F.col("Y").alias("_prev"))
+    df = df.join(prev, [key, "rn"], "left")
+    df = (df.withColumn("ratio_raw", F.try_divide(F.col("Y"), F.col("_prev")))
+            .withColumn("ratio", smooth_ratio(F.col("ratio_raw"))).drop("_prev"))
+    df = running_total(df, F.log(F.col("ratio")), "ln_prefix", key, "rn")
+    cycle = df.groupBy(key).agg(
+        F.max_by("ln_prefix", "rn").alias("ln_cycle"),
+        F.min(F.when(F.col("rn") == 1, F.lit(True))
+              .otherwise(F.col("ratio").isNotNull())).alias("cycle_ok"))
+    return df.join(broadcast_if_bounded(cycle), key)
+
+
 def with_cycle(s: DataFrame, key: str = "code", order: tuple[str, ...] = ("dt",)) -> DataFrame:
     """Adds the cycle's log product and whether every ratio of the cycle exists."""
+    if "ln_cycle" in s.columns and "cycle_ok" in s.columns:
+        return s
     wall = whole_series(key, order)
     ok = F.min(F.when(F.col("rn") == 1, F.lit(True))
                .otherwise(F.col("ratio").isNotNull())).over(wall)

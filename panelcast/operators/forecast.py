@@ -28,16 +28,21 @@ CARRY = ("n_hist", "xmin", "xmax")
 
 
 def history_and_forecast(panel: DataFrame, horizon: int = X.HORIZON_DAYS,
-                         cyclic: bool = False) -> DataFrame:
-    """``(code, dt, Y, n_hist, xmin, xmax, is_forecast)``: scaled history + forecast."""
-    return X.history_with_forecast(X.scaled_series(panel), horizon, cyclic)
+                         cyclic: bool = False, strategy: str = "window") -> DataFrame:
+    """``(code, dt, Y, n_hist, xmin, xmax, is_forecast)``: scaled history + forecast.
+
+    ``strategy="balanced"`` builds the series state without per-series tasks.
+    """
+    return X.history_with_forecast(X.scaled_series(panel, strategy=strategy), horizon, cyclic)
 
 
 def forecast_features(panel: DataFrame, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
-                      horizon: int = X.HORIZON_DAYS, cyclic: bool = False) -> DataFrame:
+                      horizon: int = X.HORIZON_DAYS, cyclic: bool = False,
+                      strategy: str = "window") -> DataFrame:
     """Lag frame over history + forecast, sentinel rows dropped, label renamed ``Y``."""
-    combined = add_calendar_features(history_and_forecast(panel, horizon, cyclic))
-    framed = lags.lag_frame(combined, n_lags, columns=FEATURE_BASE, carry=CARRY)
+    combined = add_calendar_features(history_and_forecast(panel, horizon, cyclic, strategy))
+    framed = lags.lag_frame(combined, n_lags, columns=FEATURE_BASE, carry=CARRY,
+                            strategy=strategy)
     framed = lags.drop_sentinels(framed, columns=[c for c in framed.columns
                                                   if c.endswith("_day_before")])
     return lags.label_from_lag0(framed)
@@ -90,8 +95,9 @@ def _unscale_features(features: DataFrame) -> DataFrame:
 
 def panel_forecast(panel: DataFrame, model, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
                    horizon: int = X.HORIZON_DAYS, cyclic: bool = False,
-                   pred: str = "prediction", scale_for_model: bool = True) -> DataFrame:
+                   pred: str = "prediction", scale_for_model: bool = True,
+                   strategy: str = "window") -> DataFrame:
     """``(code, dt, unscale_pred)`` for every row of every series' combined frame."""
-    feats = forecast_features(panel, n_lags, horizon, cyclic)
+    feats = forecast_features(panel, n_lags, horizon, cyclic, strategy)
     scored = score_and_unscale(feats, model, pred, scale_for_model)
     return scored.select("code", "dt", "unscale_pred")

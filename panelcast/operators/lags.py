@@ -144,6 +144,34 @@ def series_positions(df: DataFrame, key: str = "code", order: tuple[str, ...] =
             .drop("_pid", "_lrn", "_off"))
 
 
+# Rows per block of the block-decomposed running sum.
+BLOCK_ROWS = 1_000_000
+
+
+def running_total(df: DataFrame, value: Column, out: str, key: str = "code",
+                  pos: str = "_pos", block: int = BLOCK_ROWS) -> DataFrame:
+    """Running sum of ``value`` along ``pos`` within each series, nulls as 0.
+
+    Positions are cut into blocks of ``block`` consecutive rows: a window
+    over (series, block) gives the sum inside the block, and the small table
+    of block totals gives the sum of all earlier blocks. No task holds more
+    than one block, however long the series.
+    """
+    d = (df.withColumn("_blk", F.floor((F.col(pos) - 1) / F.lit(block)))
+           .withColumn("_v", value))
+    inside = (Window.partitionBy(key, "_blk").orderBy(pos)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_in", F.sum("_v").over(inside))
+    earlier = (Window.partitionBy(key).orderBy("_blk")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (d.groupBy(key, "_blk").agg(F.sum("_v").alias("_bs"))
+                .select(key, "_blk", F.sum("_bs").over(earlier).alias("_off")))
+    return (d.join(offsets, [key, "_blk"])
+             .withColumn(out, F.coalesce(F.col("_off"), F.lit(0.0))
+                         + F.coalesce(F.col("_in"), F.lit(0.0)))
+             .drop("_blk", "_v", "_in", "_off"))
+
+
 def _balanced_frame(df: DataFrame, n: int, mode: str, cols: list[str], key: str,
                     order: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
     """Lag frame via positions: each row sends its values to the ``N + 1`` rows

@@ -9,6 +9,7 @@ from panelcast.operators import extrapolate as X
 from panelcast.operators import forecast as FC
 from panelcast.operators import lags
 from panelcast.plans import panels
+from panelcast.plans.joins import broadcast_if_bounded
 from panelcast.plans.oracle_sql import calendar_select, lag_select, with_ctes
 from panelcast.plans.registry import register
 
@@ -21,25 +22,32 @@ LOG_DECIMALS = 6
 _W = "PARTITION BY code ORDER BY dt"
 _ALL = f"({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
-STATE_CTE = {
-    "panel": panels.PANEL_A_SQL,
-    "mm": ("SELECT code, dt, Y, min(Y) OVER (PARTITION BY code) AS xmin, "
-           "max(Y) OVER (PARTITION BY code) AS xmax FROM panel"),
-    "sc": ("SELECT code, dt, xmin, xmax, "
-           "CAST(2930 AS DOUBLE) * (Y - xmin) / nullif(xmax - xmin, 0) + CAST(70 AS DOUBLE) "
-           "AS Y FROM mm"),
-    "rr": f"SELECT *, Y / nullif(lag(Y) OVER ({_W}), 0) AS ratio_raw FROM sc",
-    "r": ("SELECT *, CASE WHEN ratio_raw < 0.5 OR ratio_raw > 5 THEN CAST(1 AS DOUBLE) "
-          "ELSE ratio_raw END AS ratio FROM rr"),
-    "st": (f"SELECT *, row_number() OVER ({_W}) AS rn, count(*) OVER (PARTITION BY code) AS n, "
-           f"max(dt) OVER (PARTITION BY code) AS last_dt, last_value(Y) OVER {_ALL} AS last_y, "
-           f"coalesce(sum(ln(ratio)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
-           "0) AS ln_prefix FROM r"),
-    "fc": ("SELECT code, CAST(rn - 1 AS INTEGER) AS k, "
-           "CAST(last_dt + CAST(rn - 1 AS INTEGER) AS DATE) AS dt, "
-           "ln(last_y) + ln_prefix AS log_y, n, xmin, xmax FROM st "
-           "WHERE rn >= 2 AND rn - 1 <= 3651 AND ratio IS NOT NULL AND last_y IS NOT NULL"),
-}
+def state_cte(panel_sql: str, order: str = "dt") -> dict[str, str]:
+    """DuckDB CTEs for the series state over ``panel_sql`` ordered by ``order``."""
+    w = f"PARTITION BY code ORDER BY {order}"
+    wall = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return {
+        "panel": panel_sql,
+        "mm": ("SELECT *, min(Y) OVER (PARTITION BY code) AS xmin, "
+               "max(Y) OVER (PARTITION BY code) AS xmax FROM panel"),
+        "sc": ("SELECT * EXCLUDE (Y), "
+               "CAST(2930 AS DOUBLE) * (Y - xmin) / nullif(xmax - xmin, 0) + CAST(70 AS DOUBLE) "
+               "AS Y FROM mm"),
+        "rr": f"SELECT *, Y / nullif(lag(Y) OVER ({w}), 0) AS ratio_raw FROM sc",
+        "r": ("SELECT *, CASE WHEN ratio_raw < 0.5 OR ratio_raw > 5 THEN CAST(1 AS DOUBLE) "
+              "ELSE ratio_raw END AS ratio FROM rr"),
+        "st": (f"SELECT *, row_number() OVER ({w}) AS rn, count(*) OVER (PARTITION BY code) AS n, "
+               f"max(dt) OVER (PARTITION BY code) AS last_dt, last_value(Y) OVER {wall} AS last_y, "
+               f"coalesce(sum(ln(ratio)) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+               "0) AS ln_prefix FROM r"),
+        "fc": ("SELECT code, CAST(rn - 1 AS INTEGER) AS k, "
+               "CAST(last_dt + CAST(rn - 1 AS INTEGER) AS DATE) AS dt, "
+               "ln(last_y) + ln_prefix AS log_y, n, xmin, xmax FROM st "
+               "WHERE rn >= 2 AND rn - 1 <= 3651 AND ratio IS NOT NULL AND last_y IS NOT NULL"),
+    }
+
+
+STATE_CTE = state_cte(panels.PANEL_A_SQL)
 
 
 def _state(spark, sf_dir):
@@ -132,3 +140,27 @@ def q_mape_by_code_positional(spark, sf_dir):
     scored = feats.withColumn("prediction", F.col("Y_001_day_before"))
     out = FC.positional_mape(scored, "prediction", N_LAGS)
     return out.select("code", F.round("mape", LOG_DECIMALS).alias("mape"), "n_scored")
+
+
+_RAW_STATE = state_cte(
+    "SELECT n_name || c_mktsegment AS code, CAST(o_orderdate AS DATE) AS dt, "
+    "o_totalprice AS Y, o_orderkey AS ok FROM orders "
+    "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    order="dt, ok")
+
+
+@register("ratio_extrapolate_raw_balanced", with_ctes(
+    _RAW_STATE, f"SELECT code, k, dt, ROUND(log_y, {LOG_DECIMALS}) AS log_y FROM fc"))
+def q_ratio_extrapolate_raw_balanced(spark, sf_dir):
+    """Literal extrapolation of un-aggregated order rows (ties by order key),
+    with the balanced series state: no series is held by one task."""
+    orders = panels.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    cust = broadcast_if_bounded(panels.customer_dim(spark, sf_dir))
+    raw = (orders.join(cust, orders.o_custkey == cust.c_custkey)
+           .select(F.concat("sites", "node_desc").alias("code"),
+                   F.col("o_orderdate").cast("date").alias("dt"),
+                   F.col("o_totalprice").alias("Y"), F.col("o_orderkey").alias("ok")))
+    state = X.scaled_series(raw, order=("dt", "ok"), strategy="balanced")
+    fc = X.forecast_from_state(state)
+    return fc.select("code", "k", "dt", F.round("log_y", LOG_DECIMALS).alias("log_y"))

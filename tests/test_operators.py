@@ -302,3 +302,39 @@ def test_score_with_unscaled_features(spark):
     assert [round(r["prediction"], 9) for r in hist] == [20.0, 90.0, 35.0]
     scaled = FC.score_and_unscale(feats, naive).orderBy("dt").limit(3).collect()
     assert [round(r["unscale_pred"], 9) for r in scaled] == [20.0, 90.0, 35.0]
+
+
+def _hot_panel(spark):
+    import random
+    rnd = random.Random(9)
+    rows = [("hot", D0 + dt.timedelta(days=i // 4), float(rnd.randint(5, 500)), i) for i in range(400)]
+    for c in range(15):
+        for j in range(rnd.randint(1, 12)):
+            rows.append((f"s{c}", D0 + dt.timedelta(days=j), float(rnd.randint(5, 500)), 10000 + 100 * c + j))
+    rows += [("flat", D0 + dt.timedelta(days=j), 7.0, 20000 + j) for j in range(5)]
+    return spark.createDataFrame(rows, "code string, dt date, Y double, o int")
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_balanced_extrapolation_matches_window(spark, cyclic):
+    panel = _hot_panel(spark)
+    order = ("dt", "o")
+    fn = (lambda s: X.cyclic_forecast_from_state(s, 700, order=order)) if cyclic \
+        else (lambda s: X.forecast_from_state(s, 700))
+    got = {}
+    for strategy in ("window", "balanced"):
+        state = X.scaled_series(panel, order=order, strategy=strategy)
+        got[strategy] = {(r["code"], r["k"]): (r["dt"], r["log_y"]) for r in fn(state).collect()}
+    assert got["window"].keys() == got["balanced"].keys() and got["window"]
+    for k, (d, v) in got["window"].items():
+        d2, v2 = got["balanced"][k]
+        assert d == d2 and math.isclose(v, v2, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_running_total(spark):
+    rows = [("a", p, float(p)) for p in range(1, 26)] + [("b", 1, None), ("b", 2, 3.0)]
+    df = spark.createDataFrame(rows, "code string, _pos long, v double")
+    out = {(r["code"], r["_pos"]): r["t"] for r in
+           lags.running_total(df, F.col("v"), "t", block=4).collect()}
+    assert all(out[("a", p)] == p * (p + 1) / 2 for p in range(1, 26))
+    assert out[("b", 1)] == 0.0 and out[("b", 2)] == 3.0
