@@ -58,8 +58,12 @@ def scaled_series(panel: DataFrame, col: str = "Y", key: str = "code",
     Columns: key, dt, Y (the scaled value when ``scale``), xmin, xmax, rn, n,
     last_dt, last_y, ratio_raw, ratio, ln_prefix (sum of log ratios of rows
     2..rn; 0 for row 1). ``strategy="balanced"`` computes the same state
-    without any per-series task (for un-aggregated input with a hot series).
+    without any per-series task (for un-aggregated input with a hot series);
+    ``"auto"`` picks it when the largest series is long.
     """
+    if strategy == "auto":
+        from panelcast.operators.lags import BALANCED_MIN_ROWS, largest_series
+        strategy = "balanced" if largest_series(panel, key) > BALANCED_MIN_ROWS else "window"
     if strategy == "balanced":
         return _scaled_series_balanced(panel, col, key, order, scale)
     w = series_window(key, order)

@@ -55,19 +55,28 @@ def head_rows(df: DataFrame, n: str = "n_hist") -> DataFrame:
 
 
 def positional_mape(scored: DataFrame, pred: str = "prediction",
-                    n_lags: int = lags.DEFAULT_TRACKING_DAYS) -> DataFrame:
+                    n_lags: int = lags.DEFAULT_TRACKING_DAYS,
+                    strategy: str = "window") -> DataFrame:
     """Per-series MAPE of the first ``n_hist`` scored rows against the history.
 
     Scored row ``i`` sits ``N`` rows after history row ``i`` (the lag frame
     drops the first ``N`` rows), so its truth is the N-th lag of ``Y``: the
     source's position-wise pairing, reproduced exactly. Series whose scored
-    rows do not cover the whole history are left out.
+    rows do not cover the whole history are left out. ``strategy="balanced"``
+    numbers rows with :func:`lags.series_positions` instead of a window.
     """
     truth = lags.lag_name("Y", n_lags)
-    w_all = lags.whole_series()
-    head = (scored.withColumn("_rows", F.count(F.lit(1)).over(w_all))
-            .where(F.col("_rows") >= F.col("n_hist")))
-    head = head_rows(head)
+    if strategy == "balanced":
+        from panelcast.plans.joins import broadcast_if_bounded
+        rows = scored.groupBy("code").agg(F.count(F.lit(1)).alias("_rows"))
+        head = (lags.series_positions(scored, "code", ("dt",))
+                .join(broadcast_if_bounded(rows), "code")
+                .where((F.col("_rows") >= F.col("n_hist")) & (F.col("_pos") <= F.col("n_hist"))))
+    else:
+        w_all = lags.whole_series()
+        head = (scored.withColumn("_rows", F.count(F.lit(1)).over(w_all))
+                .where(F.col("_rows") >= F.col("n_hist")))
+        head = head_rows(head)
     ape = F.abs(F.try_divide(F.col(pred) - F.col(truth), F.col(truth)))
     return head.groupBy("code").agg(F.avg(ape).alias("mape"), F.count(ape).alias("n_scored"))
 

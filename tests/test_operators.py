@@ -338,3 +338,16 @@ def test_running_total(spark):
            lags.running_total(df, F.col("v"), "t", block=4).collect()}
     assert all(out[("a", p)] == p * (p + 1) / 2 for p in range(1, 26))
     assert out[("b", 1)] == 0.0 and out[("b", 2)] == 3.0
+
+
+def test_balanced_positional_mape_and_auto_state(spark):
+    from panelcast.operators import forecast as FC
+    panel = _hot_panel(spark).drop("o").dropDuplicates(["code", "dt"])
+    feats = FC.forecast_features(panel, 5).withColumn("prediction", F.col("Y_001_day_before"))
+    a = {r["code"]: (r["mape"], r["n_scored"]) for r in FC.positional_mape(feats).collect()}
+    b = {r["code"]: (r["mape"], r["n_scored"]) for r in
+         FC.positional_mape(feats, strategy="balanced").collect()}
+    assert a.keys() == b.keys() and a
+    assert all(a[k][1] == b[k][1] and math.isclose(a[k][0], b[k][0], rel_tol=1e-12) for k in a)
+    auto = X.scaled_series(panel, strategy="auto")
+    assert auto.count() == panel.count()
