@@ -40,10 +40,16 @@ class TrainingData:
 
 def training_data(raw: DataFrame, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
                   date_format: str | None = None, aggregate: bool = True,
-                  decimals: int | None = None) -> TrainingData:
-    """Panel and the split, materialised model frame of a raw table."""
+                  decimals: int | None = None, strategy: str = "auto") -> TrainingData:
+    """Panel and the split, materialised model frame of a raw table.
+
+    ``strategy`` is passed to the lag frame; ``"auto"`` switches to the
+    balanced computation when one series is very long (possible when the
+    raw rows are not aggregated per date).
+    """
     panel = build_panel(raw, date_format=date_format, aggregate=aggregate, decimals=decimals)
-    frame = lags.lag_frame(add_calendar_features(panel), n_lags, columns=FEATURE_BASE)
+    frame = lags.lag_frame(add_calendar_features(panel), n_lags, columns=FEATURE_BASE,
+                           strategy=strategy)
     frame = lags.label_from_lag0(lags.drop_sentinels(frame))
     marked = mark_split(materialize(frame, "model-frame"))
     train = marked.where(F.col("is_train")).drop("is_train")
@@ -87,13 +93,17 @@ def select_refit_forecast_flow(raw: DataFrame, first=None, refit=None,
                         first.getFeaturesCol())
     keep = [data.features[i] for i in ml.select_split_on(ranked, top_fraction)]
     final = ml.fit_pipeline(data.train, keep, refit)
+    strategy = kw.get("strategy", "auto")
+    if strategy == "auto":
+        long = lags.largest_series(data.panel) > lags.BALANCED_MIN_ROWS
+        strategy = "balanced" if long else "window"
     feats = FC.forecast_features(data.panel, kw.get("n_lags", lags.DEFAULT_TRACKING_DAYS),
-                                 horizon, cyclic)
+                                 horizon, cyclic, strategy)
     scored = FC.score_and_unscale(feats, final)
     forecast = scored.select("code", "dt", "unscale_pred")
     if out_dir:
         sinks.write_forecast_csv(forecast, out_dir)
-    by_code = FC.positional_mape(scored, "prediction")
+    by_code = FC.positional_mape(scored, "prediction", strategy=strategy)
     return final, keep, _mape_train_test(final, data), forecast, by_code
 
 
