@@ -206,20 +206,24 @@ def history_with_forecast(s: DataFrame, horizon: int = HORIZON_DAYS, cyclic: boo
                           key: str = "code", order: tuple[str, ...] = ("dt",)) -> DataFrame:
     """Each history row followed by the forecast rows it emits, in one pass.
 
-    Output ``(key, dt, Y, n_hist, xmin, xmax, is_forecast)``. The explode keeps
-    the state's partitioning by ``key``, so a following per-series window
-    needs no further exchange.
+    Output ``(key, dt, Y, n_hist, xmin, xmax, is_forecast, seq)``; ``seq`` is
+    the row's place in the combined series (history position, then ``n + k``)
+    so ties on ``dt`` in raw history keep their order downstream. The
+    explode keeps the state's partitioning by ``key``, so a following
+    per-series window needs no further exchange.
     """
     if cyclic:
         s = with_cycle(s, key, order)
     hist = F.array(F.struct(F.col("dt").alias("dt"), F.col("Y").alias("Y"),
-                            F.lit(False).alias("is_forecast")))
+                            F.lit(False).alias("is_forecast"),
+                            F.col("rn").cast(T.LongType()).alias("seq")))
     fc = F.transform(forecast_rows(horizon, cyclic),
                      lambda f: F.struct(f["dt"].alias("dt"), F.exp(f["log_y"]).alias("Y"),
-                                        F.lit(True).alias("is_forecast")))
+                                        F.lit(True).alias("is_forecast"),
+                                        (F.col("n") + f["k"]).cast(T.LongType()).alias("seq")))
     out = s.select(key, F.col("n").alias("n_hist"), "xmin", "xmax",
                    F.explode(F.concat(hist, fc)).alias("r"))
-    return out.select(key, "r.dt", "r.Y", "n_hist", "xmin", "xmax", "r.is_forecast")
+    return out.select(key, "r.dt", "r.Y", "n_hist", "xmin", "xmax", "r.is_forecast", "r.seq")
 
 
 def append_forecast(history: DataFrame, forecast: DataFrame) -> DataFrame:

@@ -24,33 +24,43 @@ from panelcast.operators import lags
 from panelcast.operators.scale import range_unscale
 
 FEATURE_BASE = ["Y", *CALENDAR_COLUMNS]
-CARRY = ("n_hist", "xmin", "xmax")
+CARRY = ("n_hist", "xmin", "xmax", "seq")
+# Combined series order: date, then place in the series (keeps raw ties).
+COMBINED_ORDER = ("dt", "seq")
 
 
 def history_and_forecast(panel: DataFrame, horizon: int = X.HORIZON_DAYS,
-                         cyclic: bool = False, strategy: str = "window") -> DataFrame:
-    """``(code, dt, Y, n_hist, xmin, xmax, is_forecast)``: scaled history + forecast.
+                         cyclic: bool = False, strategy: str = "window",
+                         order: tuple[str, ...] = ("dt",)) -> DataFrame:
+    """``(code, dt, Y, n_hist, xmin, xmax, is_forecast, seq)``: scaled history + forecast.
 
+    ``order`` orders the history (add a tie-break column for raw rows);
     ``strategy="balanced"`` builds the series state without per-series tasks.
     """
-    return X.history_with_forecast(X.scaled_series(panel, strategy=strategy), horizon, cyclic)
+    state = X.scaled_series(panel, order=order, strategy=strategy)
+    return X.history_with_forecast(state, horizon, cyclic, order=order)
 
 
 def forecast_features(panel: DataFrame, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
                       horizon: int = X.HORIZON_DAYS, cyclic: bool = False,
-                      strategy: str = "window") -> DataFrame:
+                      strategy: str = "window", order: tuple[str, ...] = ("dt",)) -> DataFrame:
     """Lag frame over history + forecast, sentinel rows dropped, label renamed ``Y``."""
-    combined = add_calendar_features(history_and_forecast(panel, horizon, cyclic, strategy))
+    combined = add_calendar_features(
+        history_and_forecast(panel, horizon, cyclic, strategy, order))
     framed = lags.lag_frame(combined, n_lags, columns=FEATURE_BASE, carry=CARRY,
-                            strategy=strategy)
+                            order=COMBINED_ORDER, strategy=strategy)
     framed = lags.drop_sentinels(framed, columns=[c for c in framed.columns
                                                   if c.endswith("_day_before")])
     return lags.label_from_lag0(framed)
 
 
+def _order_of(df: DataFrame) -> tuple[str, ...]:
+    return COMBINED_ORDER if "seq" in df.columns else ("dt",)
+
+
 def head_rows(df: DataFrame, n: str = "n_hist") -> DataFrame:
     """The first ``n`` rows of every series (``n`` a per-series column)."""
-    rn = F.row_number().over(lags.series_window())
+    rn = F.row_number().over(lags.series_window(order=_order_of(df)))
     return df.withColumn("_rn", rn).where(F.col("_rn") <= F.col(n)).drop("_rn")
 
 
@@ -69,11 +79,11 @@ def positional_mape(scored: DataFrame, pred: str = "prediction",
     if strategy == "balanced":
         from panelcast.plans.joins import broadcast_if_bounded
         rows = scored.groupBy("code").agg(F.count(F.lit(1)).alias("_rows"))
-        head = (lags.series_positions(scored, "code", ("dt",))
+        head = (lags.series_positions(scored, "code", _order_of(scored))
                 .join(broadcast_if_bounded(rows), "code")
                 .where((F.col("_rows") >= F.col("n_hist")) & (F.col("_pos") <= F.col("n_hist"))))
     else:
-        w_all = lags.whole_series()
+        w_all = lags.whole_series(order=_order_of(scored))
         head = (scored.withColumn("_rows", F.count(F.lit(1)).over(w_all))
                 .where(F.col("_rows") >= F.col("n_hist")))
         head = head_rows(head)
@@ -105,8 +115,8 @@ def _unscale_features(features: DataFrame) -> DataFrame:
 def panel_forecast(panel: DataFrame, model, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
                    horizon: int = X.HORIZON_DAYS, cyclic: bool = False,
                    pred: str = "prediction", scale_for_model: bool = True,
-                   strategy: str = "window") -> DataFrame:
+                   strategy: str = "window", order: tuple[str, ...] = ("dt",)) -> DataFrame:
     """``(code, dt, unscale_pred)`` for every row of every series' combined frame."""
-    feats = forecast_features(panel, n_lags, horizon, cyclic, strategy)
+    feats = forecast_features(panel, n_lags, horizon, cyclic, strategy, order)
     scored = score_and_unscale(feats, model, pred, scale_for_model)
     return scored.select("code", "dt", "unscale_pred")

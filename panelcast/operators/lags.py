@@ -182,7 +182,7 @@ def _balanced_frame(df: DataFrame, n: int, mode: str, cols: list[str], key: str,
     short-series rule, broadcast when bounded."""
     from panelcast.plans.joins import broadcast_if_bounded
 
-    extra_order = [c for c in order if c != "dt"]
+    extra_order = [c for c in order if c != "dt" and c not in carry]
     base = df.select(key, "dt", *extra_order, *cols, *carry)
     pos = series_positions(base, key, order)
     step = 1 if mode == "backward" else -1

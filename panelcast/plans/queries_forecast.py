@@ -120,7 +120,7 @@ def q_history_plus_forecast_features(spark, sf_dir):
 def history_plus_forecast(spark, sf_dir):
     """Lag frame over scaled history + forecast of panel A (the flagship frame)."""
     combined = add_calendar_features(FC.history_and_forecast(panels.panel_a(spark, sf_dir)))
-    return lags.lag_frame(combined, N_LAGS, columns=FEATURE_BASE)
+    return lags.lag_frame(combined, N_LAGS, columns=FEATURE_BASE, order=FC.COMBINED_ORDER)
 
 
 _POS = dict(_COMB)

@@ -69,3 +69,22 @@ def test_sample_lag_frame_and_split(spark, tmp_dir):
     train, test = split.time_split(frame)
     assert train.count() == 9 and test.count() == 2
     assert 65 == len([c for c in frame.columns if c not in ("Y", "code", "dt")])
+
+
+def test_sample_forecast_keeps_input_order(spark, tmp_dir):
+    from panelcast.operators import forecast as FC
+    panel = _panel(spark, tmp_dir)
+    got = {}
+    for strategy in ("window", "balanced"):
+        feats = FC.forecast_features(panel, 5, strategy=strategy, order=("dt", ORDINAL))
+        got[strategy] = sorted((r["code"], r["seq"], r["Y"], r["Y_001_day_before"])
+                               for r in feats.collect())
+    assert got["window"] == got["balanced"]
+    vals = [100.0008571, 90.60925246, 105.5016373, 118.6052447, 96.959175,
+            105.2282631, 111.2163436, 122.0000749]
+    lo, hi = min(vals), max(vals)
+    scaled = [(3000 - 70) * (v - lo) / (hi - lo) + 70 for v in vals]
+    hist = [r for r in got["window"] if r[0] == "477AZADA" and r[1] <= 8]
+    # History rows 6..8 in input order, each with its input-order predecessor.
+    assert [round(r[2], 9) for r in hist] == [round(v, 9) for v in scaled[5:8]]
+    assert [round(r[3], 9) for r in hist] == [round(v, 9) for v in scaled[4:7]]
