@@ -26,6 +26,7 @@ from panelcast.operators.panel import build_panel
 from panelcast.operators.split import mark_split
 from panelcast.session import materialize
 from panelcast.sources import sinks
+from panelcast.sources.readers import ORDINAL, with_input_ordinal
 
 FEATURE_BASE = ["Y", *CALENDAR_COLUMNS]
 
@@ -36,6 +37,7 @@ class TrainingData:
     train: DataFrame
     test: DataFrame
     features: list[str]
+    order: tuple[str, ...] = ("dt",)
 
 
 def training_data(raw: DataFrame, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
@@ -45,16 +47,24 @@ def training_data(raw: DataFrame, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
 
     ``strategy`` is passed to the lag frame; ``"auto"`` switches to the
     balanced computation when one series is very long (possible when the
-    raw rows are not aggregated per date).
+    raw rows are not aggregated per date). Without aggregation, rows that
+    share a date keep their input order (an input ordinal breaks ties).
     """
-    panel = build_panel(raw, date_format=date_format, aggregate=aggregate, decimals=decimals)
+    keep: tuple[str, ...] = ()
+    order: tuple[str, ...] = ("dt",)
+    if not aggregate:
+        if ORDINAL not in raw.columns:
+            raw = with_input_ordinal(raw)
+        keep, order = (ORDINAL,), ("dt", ORDINAL)
+    panel = build_panel(raw, date_format=date_format, aggregate=aggregate, decimals=decimals,
+                        keep=keep)
     frame = lags.lag_frame(add_calendar_features(panel), n_lags, columns=FEATURE_BASE,
-                           strategy=strategy)
+                           order=order, strategy=strategy)
     frame = lags.label_from_lag0(lags.drop_sentinels(frame))
     marked = mark_split(materialize(frame, "model-frame"))
     train = marked.where(F.col("is_train")).drop("is_train")
     test = marked.where(~F.col("is_train")).drop("is_train")
-    return TrainingData(panel, train, test, ml.feature_columns(train))
+    return TrainingData(panel, train, test, ml.feature_columns(train), order)
 
 
 def _mape_train_test(model, data: TrainingData, pred: str = "prediction") -> DataFrame:
@@ -98,7 +108,7 @@ def select_refit_forecast_flow(raw: DataFrame, first=None, refit=None,
         long = lags.largest_series(data.panel) > lags.BALANCED_MIN_ROWS
         strategy = "balanced" if long else "window"
     feats = FC.forecast_features(data.panel, kw.get("n_lags", lags.DEFAULT_TRACKING_DAYS),
-                                 horizon, cyclic, strategy)
+                                 horizon, cyclic, strategy, data.order)
     scored = FC.score_and_unscale(feats, final)
     forecast = scored.select("code", "dt", "unscale_pred")
     if out_dir:

@@ -28,3 +28,14 @@ def test_select_refit_forecast_flow(spark, tmp_dir):
     from panelcast.sources.sinks import read_forecast_csv
     assert read_forecast_csv(spark, f"{tmp_dir}/fc").count() == n
     assert by_code.count() > 0
+
+
+def test_flow_on_raw_rows_keeps_ties(spark, tmp_dir):
+    raw = panels.order_measurements(spark, SF_SMALL)
+    data = flows.training_data(raw, aggregate=False)
+    assert data.order == ("dt", "_ord")
+    assert data.train.count() + data.test.count() > 0
+    _, _, _, forecast, _ = flows.select_refit_forecast_flow(
+        raw, first=ml.gbt(max_iter=2, max_depth=2), refit=ml.gbt(max_iter=2, max_depth=2),
+        aggregate=False, horizon=30)
+    assert forecast.count() > 0
