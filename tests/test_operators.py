@@ -351,3 +351,22 @@ def test_balanced_positional_mape_and_auto_state(spark):
     assert all(a[k][1] == b[k][1] and math.isclose(a[k][0], b[k][0], rel_tol=1e-12) for k in a)
     auto = X.scaled_series(panel, strategy="auto")
     assert auto.count() == panel.count()
+
+
+def test_balanced_forward_fill(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [("hot", i, None if rnd.random() < 0.6 else float(i)) for i in range(500)]
+    rows += [("b", i, None if i % 3 else float(i)) for i in range(20)]
+    rows += [("c", i, None) for i in range(4)]
+    df = spark.createDataFrame(rows, "code string, dt int, Y double")
+    want = {(r["code"], r["dt"]): r["F"] for r in
+            series.forward_fill(df, "Y", out="F").collect()}
+    got = {(r["code"], r["dt"]): r["F"] for r in
+           series.forward_fill(df, "Y", out="F", strategy="balanced").collect()}
+    assert got == want
+    # Small blocks exercise the carry-in across blocks, including all-null blocks.
+    from panelcast.operators.lags import series_positions
+    small = {(r["code"], r["dt"]): r["F"] for r in series.running_last(
+        series_positions(df), "Y", "F", block=7).collect()}
+    assert small == want
