@@ -6,13 +6,17 @@ module adds them when this package is present.
 
 from __future__ import annotations
 
-from panelcast.llm import quality_rules
+from panelcast.llm import mixing, packing, quality_rules, secret_scan
 from panelcast.llm.common import table
 
 QUERIES = {
     "op7_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
+    "op8_secret_scans": lambda spark, sf: secret_scan.query(spark, table(spark, sf, "documents")),
+    "op9_mixing": lambda spark, sf: mixing.query(spark, table(spark, sf, "documents")),
+    "op10_packing": lambda spark, sf: packing.query(spark, table(spark, sf, "documents")),
 }
 
 ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
 }
