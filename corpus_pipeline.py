@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import quality_rules
+from panelcast.llm import mixing, near_dedup, packing, quality_rules, secret_scan
 from panelcast.llm.common import table
-from panelcast.session import materialize
+from panelcast.session import materialize, scratch_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,33 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document (the smallest id) of each class of near duplicates."""
+    return near_dedup.deduplicated(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret that the blob ledger holds for a text; all documents stay."""
+    _, ledger = secret_scan.scan(docs, scratch_path(spark, "secret-ledger"))
+    return secret_scan.redact(docs, ledger)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat and sample the documents to their sources' targets."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequence and place."""
+    return packing.query(spark, docs)
+
+
 STAGES = [
     ("quality_rules", rules),
+    ("near_dedup", near_duplicates),
+    ("secret_scans", secrets),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 

@@ -6,10 +6,11 @@ module adds them when this package is present.
 
 from __future__ import annotations
 
-from panelcast.llm import mixing, packing, quality_rules, secret_scan
+from panelcast.llm import mixing, near_dedup, packing, quality_rules, secret_scan
 from panelcast.llm.common import table
 
 QUERIES = {
+    "op4_minhash_near_dedup": lambda spark, sf: near_dedup.query(spark, table(spark, sf, "documents")),
     "op7_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
     "op8_secret_scans": lambda spark, sf: secret_scan.query(spark, table(spark, sf, "documents")),
     "op9_mixing": lambda spark, sf: mixing.query(spark, table(spark, sf, "documents")),
