@@ -32,3 +32,13 @@ def text_of(column: str) -> Column:
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of non-white characters."""
     return F.array_remove(F.split(text, SPACE), "")
+
+
+def pinned(column: Column) -> Column:
+    """The column, evaluated where it is defined.
+
+    A filter on a derived column is pushed down by copying the column's
+    expression, also into lambdas, where it would be evaluated per element.
+    Projections that are marked as depending on the partition are not crossed.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)

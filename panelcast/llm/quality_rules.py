@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import fresh, text_of, words_of
+from panelcast.llm.common import fresh, pinned, text_of, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -79,18 +79,18 @@ def evaluate(docs: DataFrame, text: str = "text", out: str = "ledger") -> DataFr
     """``docs`` with a struct column ``out``: all measurements and ``bits``."""
     w, lines, windows, at = fresh(docs, "words", "lines", "windows", "at")
     body = text_of(text)
-    d = (docs.withColumn(w, words_of(body))
-         .withColumn(lines, F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    d = (docs.withColumn(w, pinned(words_of(body)))
+         .withColumn(lines, pinned(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))))
     arr = F.col(w)
-    d = d.withColumn(windows, F.when(F.size(arr) >= 3, F.sort_array(F.transform(
+    d = d.withColumn(windows, pinned(F.when(F.size(arr) >= 3, F.sort_array(F.transform(
         F.sequence(F.lit(0), F.size(arr) - 3),
         lambda i: F.struct(F.xxhash64(F.get(arr, i), F.get(arr, i + 1), F.get(arr, i + 2)).alias("h"),
-                           i.alias("i"))))))
+                           i.alias("i")))))))
     seen = F.col(windows)
     # Equal windows are neighbours in the sorted array; keep the places of those with a twin.
     twins = F.filter(seen, lambda x, j: (F.get(seen, j - 1)["h"] == x["h"])
                      | (F.get(seen, j + 1)["h"] == x["h"]))
-    d = d.withColumn(at, F.sort_array(F.transform(twins, lambda x: x["i"])))
+    d = d.withColumn(at, pinned(F.sort_array(F.transform(twins, lambda x: x["i"]))))
     pos = F.col(at)
     covered = F.aggregate(
         F.transform(pos, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(pos, j + 1) - p, F.lit(3)))),
@@ -105,7 +105,7 @@ def evaluate(docs: DataFrame, text: str = "text", out: str = "ledger") -> DataFr
         "n_upper": F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long"),
     }
     (raw,) = fresh(d, "measures")
-    d = d.withColumn(raw, F.struct(*[m[k].alias(k) for k in MEASURES]))
+    d = d.withColumn(raw, pinned(F.struct(*[m[k].alias(k) for k in MEASURES])))
     got = {k: F.col(raw)[k] for k in MEASURES}
     bits = sum((F.when(bad, F.lit(BIT[name])).otherwise(F.lit(0))
                 for name, bad in _rules(got).items()), F.lit(0))
