@@ -6,11 +6,13 @@ module adds them when this package is present.
 
 from __future__ import annotations
 
-from panelcast.llm import mixing, near_dedup, packing, quality_rules, secret_scan
+from panelcast.llm import license_scan, mixing, near_dedup, packing, quality_rules, secret_scan, warc
 from panelcast.llm.common import table
 
 QUERIES = {
+    "op2_license_scans": lambda spark, sf: license_scan.query(spark, table(spark, sf, "documents")),
     "op4_minhash_near_dedup": lambda spark, sf: near_dedup.query(spark, table(spark, sf, "documents")),
+    "op5_warc": lambda spark, sf: warc.query(spark, table(spark, sf, "pages")),
     "op7_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
     "op8_secret_scans": lambda spark, sf: secret_scan.query(spark, table(spark, sf, "documents")),
     "op9_mixing": lambda spark, sf: mixing.query(spark, table(spark, sf, "documents")),
@@ -18,6 +20,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scans": license_scan.oracle_sql(),
+    "op5_warc": warc.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
