@@ -6,13 +6,18 @@ module adds them when this package is present.
 
 from __future__ import annotations
 
-from panelcast.llm import license_scan, mixing, near_dedup, packing, quality_rules, secret_scan, warc
+from panelcast.llm import (
+    language_id, license_scan, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, warc,
+)
 from panelcast.llm.common import table
 
 QUERIES = {
     "op2_license_scans": lambda spark, sf: license_scan.query(spark, table(spark, sf, "documents")),
+    "op3_quality_classifier": lambda spark, sf: quality_model.query(
+        spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op4_minhash_near_dedup": lambda spark, sf: near_dedup.query(spark, table(spark, sf, "documents")),
     "op5_warc": lambda spark, sf: warc.query(spark, table(spark, sf, "pages")),
+    "op6_language_id": lambda spark, sf: language_id.query(spark, table(spark, sf, "documents")),
     "op7_quality_rules": lambda spark, sf: quality_rules.query(table(spark, sf, "documents")),
     "op8_secret_scans": lambda spark, sf: secret_scan.query(spark, table(spark, sf, "documents")),
     "op9_mixing": lambda spark, sf: mixing.query(spark, table(spark, sf, "documents")),
