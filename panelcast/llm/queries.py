@@ -7,11 +7,12 @@ module adds them when this package is present.
 from __future__ import annotations
 
 from panelcast.llm import (
-    language_id, license_scan, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, warc,
+    language_id, license_scan, metric_tree, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, warc,
 )
 from panelcast.llm.common import table
 
 QUERIES = {
+    "op1_exact_topk": lambda spark, sf: metric_tree.query(spark, table(spark, sf, "embeddings")),
     "op2_license_scans": lambda spark, sf: license_scan.query(spark, table(spark, sf, "documents")),
     "op3_quality_classifier": lambda spark, sf: quality_model.query(
         spark, table(spark, sf, "documents"), table(spark, sf, "labels")),
@@ -25,6 +26,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_exact_topk": metric_tree.ORACLE_SQL,
     "op2_license_scans": license_scan.oracle_sql(),
     "op5_warc": warc.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
