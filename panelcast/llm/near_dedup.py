@@ -12,16 +12,18 @@ dart, so a text costs about ``max(shingles, K ln K)`` darts, not
 ``shingles * K``.
 
 Classes. Equal texts are one class from the start and go on as one row. The
-signature is cut into bands; texts that agree in a band are candidates. Star
-edges (each member to the smallest id of its bucket) join candidates into
-clusters; a cluster's texts are brought together once, and in each task every
-pair that shares a band is checked on the exact shingle sets, unless the two
-are linked already. A task returns links of a spanning forest, never pairs, and
-clusters larger than ``BLOCK`` are split into blocks, whose pairs of blocks are
-separate tasks; the links of all tasks are then joined into classes.
-
-With 32 bands of 6 rows a pair of similarity 0.8 is a candidate with
-probability 0.9999; the exact check keeps pairs of 0.8 or more only.
+signature is cut into bands; texts that agree in a band share a bucket. In a
+bucket, pairs whose whole signatures agree in ``LIKELY`` of the coordinates
+or more join into clusters (texts that only share a passage fall apart here);
+a cluster's texts are then brought together once and likely pairs are
+checked on the exact shingle sets, unless the two are linked already. Both
+steps return links of a spanning forest, never all pairs, and a bucket or cluster
+larger than ``BLOCK`` is dealt into blocks, whose pairs of blocks are tasks
+of their own; the links of all tasks are then joined into classes.
+
+With 32 bands of 6 rows a pair of similarity 0.8 shares a bucket with
+probability 0.9999, and ``LIKELY`` is more than four standard deviations of
+the estimate below 0.8; the exact check keeps pairs of 0.8 or more only.
 
 Defined cases: words are compared in lower case, split at white space; texts
 of one to four words have their whole word list as one shingle; null, empty
@@ -49,7 +51,9 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 6
 K = BANDS * ROWS
-#: Texts of one cluster that are checked together in one task.
+#: Share of agreeing coordinates from which a pair is checked exactly.
+LIKELY = 0.68
+#: Texts of one bucket or cluster that meet each other in one task.
 BLOCK = 512
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -135,24 +139,27 @@ def weighted(sh: np.ndarray, by_count: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, key: str = "doc_id", text: str = "text", by_count: bool = False) -> DataFrame:
-    """(key, copy, worded, bands): copy names the exact text; bands are null without words.
+    """(key, copy, worded, bands, sketch): copy names the exact text; the sketch has two
+    bytes per coordinate; bands and sketch are null without words.
 
     ``by_count`` weighs a shingle by its occurrences; else each counts 1 (plain
     Jaccard similarity).
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            bands, sketch = [], []
             for words in b["words"]:
                 sh = shingles(np.asarray(words, np.int64).view(np.uint64))
-                out.append(bands_of(signature(*weighted(sh, by_count))) if len(sh) else None)
+                sig = signature(*weighted(sh, by_count)) if len(sh) else None
+                bands.append(None if sig is None else bands_of(sig))
+                sketch.append(None if sig is None else sig.astype("<u2").tobytes())
             yield pd.DataFrame({"key": b["key"].astype("Int64"), "copy": b["copy"],
-                                "worded": [x is not None for x in out], "bands": out})
+                                "worded": [x is not None for x in bands], "bands": bands, "sketch": sketch})
 
     rows = docs.select(F.col(f"`{key}`").alias("key"),
                        F.unhex(F.sha2(text_of(text).cast("binary"), 256)).alias("copy"),
                        word_hashes(text).alias("words"))
-    return rows.mapInPandas(run, "key long, copy binary, worded boolean, bands array<long>")
+    return rows.mapInPandas(run, "key long, copy binary, worded boolean, bands array<long>, sketch binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -185,34 +192,43 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Star edges (a, b): every member of a band bucket to the smallest id in it."""
-    member = reps.select("key", F.explode("bands").alias("h"))  # the hash covers the band's number
-    low = member.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    return member.join(low, "h").where("key > low").select(
-        F.col("key").alias("a"), F.col("low").alias("b"))
+def in_buckets(reps: DataFrame) -> DataFrame:
+    """(key, grp): the band buckets of two texts or more."""
+    member = reps.select("key", F.explode("bands").alias("grp"))  # the hash covers the band's number
+    shared = member.groupBy("grp").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    return member.join(shared.select("grp"), "grp")
 
 
-def work_units(cluster: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, root, own, i, j): the tasks that a text takes part in.
+def work_units(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, grp, own, i, j): the tasks that a text takes part in.
 
-    A cluster of up to ``block`` texts is one task (0, 0). A larger one is dealt
+    A group of up to ``block`` texts is one task (0, 0). A larger one is dealt
     into blocks; its tasks are the pairs of blocks, and a text goes to those of its ``own``.
     """
-    size = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    d = cluster.join(size, "root").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    d = d.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    size = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    d = members.join(size, "grp").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return d.select("key", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return d.select("key", "grp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def _forest(unit: list[tuple[int, int, np.ndarray, np.ndarray]], across: bool,
-            threshold: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs that share a band and are similar enough.
+def _forest(unit: list[tuple], across: bool, threshold: float | None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs that are similar enough.
 
-    ``unit`` holds (key, block, shingles, bands); ``across`` takes pairs of
+    ``unit`` holds (key, block, sketch, shingles); ``across`` takes pairs of
     different blocks only (a block's own pairs have a task of their own).
+    Without a threshold, likely pairs are linked; with one, they are checked.
     """
+    sketch = np.stack([u[2] for u in unit])
+    block = np.array([u[1] for u in unit])
+    left, right, agree = [], [], []
+    for y in range(1, len(unit)):
+        n = (sketch[:y] == sketch[y]).sum(axis=1)
+        x = np.flatnonzero((n >= LIKELY * K) & ((block[:y] != block[y]) | (not across)))
+        left.append(x)
+        right.append(np.full(len(x), y))
+        agree.append(n[x])
+    left, right, agree = map(np.concatenate, (left, right, agree))
+    order = np.argsort(-agree, kind="stable")
     parent = list(range(len(unit)))
 
     def root(x: int) -> int:
@@ -221,56 +237,50 @@ def _forest(unit: list[tuple[int, int, np.ndarray, np.ndarray]], across: bool,
             x = parent[x]
         return x
 
-    links, tried = [], set()
-    for band in np.stack([u[3] for u in unit]).T:
-        order = np.argsort(band, kind="stable")
-        ends = np.flatnonzero(np.diff(band[order])) + 1
-        for bucket in np.split(order, ends):
-            if len(bucket) == 1:
+    links = []
+    for a, b in zip(left[order].tolist(), right[order].tolist()):
+        ra, rb = root(a), root(b)
+        if ra == rb:
+            continue
+        if threshold is not None:
+            s, t = unit[a][3], unit[b][3]
+            if min(len(s), len(t)) < threshold * max(len(s), len(t)):
+                continue
+            either = len(np.union1d(s, t))
+            if len(s) + len(t) - either < threshold * either:
                 continue
-            members = bucket.tolist()
-            for y in range(1, len(members)):
-                b = members[y]
-                for a in members[:y]:
-                    if (across and unit[a][1] == unit[b][1]) or root(a) == root(b) or (a, b) in tried:
-                        continue
-                    tried.add((a, b))
-                    s, t = unit[a][2], unit[b][2]
-                    if min(len(s), len(t)) < threshold * max(len(s), len(t)):
-                        continue
-                    either = len(np.union1d(s, t))
-                    if len(s) + len(t) - either >= threshold * either:
-                        parent[root(a)] = root(b)
-                        links.append((unit[a][0], unit[b][0]))
+        parent[ra] = rb
+        links.append((unit[a][0], unit[b][0]))
     return links
 
 
-def verified_links(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): links between different texts, checked on exact shingle sets."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(name: tuple, unit: list) -> pd.DataFrame:
-            return pd.DataFrame(_forest(unit, name[1] != name[2], threshold), columns=["a", "b"], dtype="int64")
+def forests(rows: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(a, b): the links of every unit of ``rows`` (key, grp, own, i, j, sketch and,
+    with a threshold, words), each unit in one task."""
+    exact = threshold is not None
 
-        now, unit = None, []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, unit, found = None, [], []
         for batch in batches:
-            for key, name, own, bands, words in zip(
-                    batch["key"], zip(batch["root"], batch["i"], batch["j"]), batch["own"],
-                    batch["bands"], batch["words"]):
+            words = batch["words"] if exact else batch["key"]
+            for key, name, own, sketch, w in zip(
+                    batch["key"], zip(batch["grp"], batch["i"], batch["j"]), batch["own"], batch["sketch"], words):
                 if name != now:
                     if len(unit) > 1:
-                        yield links(now, unit)
+                        found += _forest(unit, now[1] != now[2], threshold)
                     now, unit = name, []
                 if unit and unit[-1][0] == key:
                     continue  # a repeated row
-                elements = np.unique(shingles(np.asarray(words, np.int64).view(np.uint64)))
-                unit.append((key, own, elements, np.asarray(bands, np.int64)))
+                unit.append((key, own, np.frombuffer(sketch, "<u2"), np.unique(
+                    shingles(np.asarray(w, np.int64).view(np.uint64))) if exact else None))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found = []
         if len(unit) > 1:
-            yield links(now, unit)
+            yield pd.DataFrame(_forest(unit, now[1] != now[2], threshold), columns=["a", "b"], dtype="int64")
 
-    rows = (docs.join(units.hint("shuffle_hash"), "key")
-            .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
-            .select("key", "root", "own", "i", "j", "bands", word_hashes("text").alias("words")))
-    return rows.mapInPandas(run, "a long, b long")
+    names = ["key", "grp", "own", "i", "j", "sketch"]
+    dealt = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "key")
+    return dealt.select(*names, *([word_hashes("text").alias("words")] if exact else [])).mapInPandas(run, "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,13 +289,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sig = materialize(signed(plain, "key"), "near-signed")
     # Rows with words and an id; equal texts become one row (combined before the shuffle).
     reps = materialize(sig.where("key is not null and worded").groupBy("copy")
-                       .agg(F.min(F.struct("key", "bands")).alias("m"))
-                       .select("copy", "m.key", "m.bands"), "near-reps")
-    clusters = components(candidate_edges(reps), "near-cluster")
+                       .agg(F.min(F.struct("key", "bands", "sketch")).alias("m"))
+                       .select("copy", "m.key", "m.bands", "m.sketch"), "near-reps")
+    sketches = reps.select("key", "sketch")
+    likely = forests(work_units(in_buckets(reps)).join(sketches, "key"))
+    clusters = components(likely, "near-cluster")
     roots = clusters.select("root").distinct().select(F.col("root").alias("node"), "root")
-    units = materialize(work_units(clusters.unionByName(roots).select(F.col("node").alias("key"), "root"))
-                        .join(reps.select("key", "bands"), "key"), "near-units")
-    links = materialize(verified_links(plain, units), "near-links")
+    members = clusters.unionByName(roots).select(F.col("node").alias("key"), F.col("root").alias("grp"))
+    units = materialize(work_units(members).join(sketches, "key"), "near-units")
+    # The written units have a known size: Spark broadcasts them if small, else builds hash tables of them.
+    links = forests(plain.join(units.hint("shuffle_hash"), "key"), THRESHOLD)
     joined = components(links, "near-class").select(F.col("node").alias("rep"), F.col("root"))
     of_copy = (reps.select("copy", F.col("key").alias("rep")).join(joined, "rep", "left")
                .select("copy", F.coalesce("root", "rep").alias("class")))
