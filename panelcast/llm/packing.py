@@ -173,7 +173,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
             .withColumn("sequence_id", F.col("slot") * 2)
             .withColumn("offset", F.lit(0).cast("long")))
 
-    def place(key, b: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         # Seeded order, but the shortest pieces come last to fill the gaps that are left.
         b = b.sort_values("slot").sample(frac=1, random_state=int(key[0]))
         b = b.iloc[np.argsort(b["length"].to_numpy() <= b["length"].quantile(SHORT_LAST), kind="stable")]
