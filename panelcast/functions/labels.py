@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import parse_date
-from panelcast.plans.joins import broadcast_if_bounded
 
 # Label horizon in days and the two date formats of the
 # source rows ("%Y%m%d") and of the fault dictionary ("%Y-%m-%d").
@@ -50,16 +49,14 @@ def label_rows(df: DataFrame, faults: DataFrame, rule: str = "intent",
                horizon: int = HORIZON_DAYS, key: str = "code", dt: str = "dt",
                fault_col: str = "fault_date", dt_format: str | None = None,
                fault_format: str | None = None, out: str = "label",
-               max_broadcast_rows: int = 1_000_000) -> DataFrame:
+               on_bad_date: str = "raise") -> DataFrame:
     """Left-join the fault dictionary on the series key and label each row.
 
-    The dictionary has one row per key; it is broadcast only when that count
-    is within ``max_broadcast_rows``, otherwise the join shuffles.
+    A malformed date is an error, or with ``on_bad_date="null"`` no fault.
     """
     f = faults.select(F.col(key).alias("__fkey"),
-                      parse_date(fault_col, fault_format).alias("__fault"))
-    f = broadcast_if_bounded(f, max_broadcast_rows)
+                      parse_date(fault_col, fault_format, on_bad_date).alias("__fault"))
     joined = df.join(f, df[key] == f["__fkey"], "left")
-    d = F.datediff(F.col("__fault"), parse_date(dt, dt_format))
+    d = F.datediff(F.col("__fault"), parse_date(dt, dt_format, on_bad_date))
     return (joined.withColumn(out, label_expr(d, rule, horizon))
             .drop("__fkey", "__fault"))

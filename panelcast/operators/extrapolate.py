@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 
 from panelcast.operators.lags import series_window, whole_series
 from panelcast.operators.scale import range_scale
+from panelcast.operators.slices import (
+    PIECE, all_pieces, check_strategy, earlier_pieces, range_slices, with_halo,
+)
 
 # Smoothing clamps and the forecast horizon (ten years of days,
 # both ends of the date range included).
@@ -58,12 +61,9 @@ def scaled_series(panel: DataFrame, col: str = "Y", key: str = "code",
     Columns: key, dt, Y (the scaled value when ``scale``), xmin, xmax, rn, n,
     last_dt, last_y, ratio_raw, ratio, ln_prefix (sum of log ratios of rows
     2..rn; 0 for row 1). ``strategy="balanced"`` computes the same state
-    without any per-series task (for un-aggregated input with a hot series);
-    ``"auto"`` picks it when the largest series is long.
+    without any per-series task (for un-aggregated input with a hot series).
     """
-    if strategy == "auto":
-        from panelcast.operators.lags import BALANCED_MIN_ROWS, largest_series
-        strategy = "balanced" if largest_series(panel, key) > BALANCED_MIN_ROWS else "window"
+    check_strategy(strategy)
     if strategy == "balanced":
         return _scaled_series_balanced(panel, col, key, order, scale)
     w = series_window(key, order)
@@ -89,6 +89,7 @@ FORECAST_ROW = T.StructType([
     T.StructField("k", T.IntegerType()),
     T.StructField("dt", T.DateType()),
     T.StructField("log_y", T.DoubleType()),
+    T.StructField("sign", T.DoubleType()),
 ])
 
 
@@ -98,38 +99,46 @@ def _no_rows() -> Column:
 
 def _scaled_series_balanced(panel: DataFrame, col: str, key: str,
                             order: tuple[str, ...], scale: bool) -> DataFrame:
-    """The series state of :func:`scaled_series` from keyed operations only.
+    """The series state of :func:`scaled_series` from slices of the global order.
 
-    Exact row positions (:func:`series_positions`), per-series statistics as
-    one partial aggregate joined back (broadcast when bounded), the previous
-    value by an equi-join on (series, position), and the log-ratio prefix by
-    a block-decomposed running sum. The cycle columns are included.
+    Series statistics come from the table of pieces; the previous value
+    from a halo of one row; the log-ratio prefix is a running sum inside the
+    piece plus the sums of earlier pieces. The cycle columns, two more sums
+    over pieces, are included.
     """
-    from panelcast.operators.lags import running_total, series_positions
-    from panelcast.plans.joins import broadcast_if_bounded
-
     extra = [c for c in order if c != "dt"]
-    pos = series_positions(panel.select(key, "dt", *extra, F.col(col).alias("_raw")),
-                           key, order, out="rn")
-    stats = pos.groupBy(key).agg(
-        F.min("_raw").alias("xmin"), F.max("_raw").alias("xmax"),
-        F.count(F.lit(1)).alias("n"), F.max_by("dt", "rn").alias("last_dt"),
-        F.max_by("_raw", "rn").alias("_last_raw"))
-    df = pos.join(broadcast_if_bounded(stats), key)
+    sl = range_slices(
+        panel.select(key, "dt", *extra, F.col(col).alias("_raw")), key, order, aggregates=(
+            F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi"),
+            F.max_by(F.struct("dt", "_raw"), F.struct(*order)).alias("_end")))
+    whole = all_pieces()
+    stats = sl.pieces.select(*PIECE, "_off", F.col("_n").alias("n"),
+                             F.min("_lo").over(whole).alias("xmin"),
+                             F.max("_hi").over(whole).alias("xmax"),
+                             F.last("_end").over(whole).alias("_end"))
+    df = with_halo(sl, 1).join(stats, PIECE)
     lo, hi = F.col("xmin"), F.col("xmax")
-    y = range_scale(F.col("_raw"), lo, hi) if scale else F.col("_raw")
-    last = range_scale(F.col("_last_raw"), lo, hi) if scale else F.col("_last_raw")
-    df = df.withColumn("Y", y).withColumn("last_y", last).drop("_last_raw")
-    prev = df.select(key, (F.col("rn") + 1).alias("rn"), F.col("Y").alias("_prev"))
-    df = df.join(prev, [key, "rn"], "left")
-    df = (df.withColumn("ratio_raw", F.try_divide(F.col("Y"), F.col("_prev")))
-            .withColumn("ratio", smooth_ratio(F.col("ratio_raw"))).drop("_prev"))
-    df = running_total(df, F.log(F.col("ratio")), "ln_prefix", key, "rn")
-    cycle = df.groupBy(key).agg(
-        F.max_by("ln_prefix", "rn").alias("ln_cycle"),
-        F.min(F.when(F.col("rn") == 1, F.lit(True))
-              .otherwise(F.col("ratio").isNotNull())).alias("cycle_ok"))
-    return df.join(broadcast_if_bounded(cycle), key)
+
+    def scaled(x: Column) -> Column:
+        return range_scale(x, lo, hi) if scale else x
+
+    df = (df.withColumn("Y", scaled(F.col("_raw"))).withColumn("last_y", scaled(F.col("_end._raw")))
+          .withColumn("last_dt", F.col("_end.dt")))
+    w, run = sl.window(), sl.running()
+    own = F.when(F.col("_halo"), 0).otherwise(1)
+    df = df.withColumn("ratio_raw", F.try_divide(F.col("Y"), F.lag("Y", 1).over(w)))
+    df = df.withColumn("ratio", smooth_ratio(F.col("ratio_raw")))
+    df = (df.withColumn("rn", (F.col("_off") + F.sum(own).over(run)))
+          .withColumn("_in", F.sum(F.log("ratio")).over(run)).where(~F.col("_halo")))
+    sums = df.groupBy(*PIECE).agg(
+        F.sum(F.log("ratio")).alias("_s"),
+        F.min((F.col("rn") == 1) | F.col("ratio").isNotNull()).alias("_ok"))
+    sums = sums.select(*PIECE, F.sum("_s").over(earlier_pieces()).alias("_before"),
+                       F.coalesce(F.sum("_s").over(whole), F.lit(0.0)).alias("ln_cycle"),
+                       F.min("_ok").over(whole).alias("cycle_ok"))
+    return (df.join(sums, PIECE)
+            .withColumn("ln_prefix", F.coalesce("_before", F.lit(0.0)) + F.coalesce("_in", F.lit(0.0)))
+            .drop(*PIECE, "_off", "_end", "_halo", "_in", "_before"))
 
 
 def with_cycle(s: DataFrame, key: str = "code", order: tuple[str, ...] = ("dt",)) -> DataFrame:
@@ -150,13 +159,14 @@ def forecast_rows(horizon: int = HORIZON_DAYS, cyclic: bool = False) -> Column:
     Cyclic (needs :func:`with_cycle`): row ``rn`` (``m = rn - 1``) emits every
     ``k = m + q n`` in 1..horizon.
     """
-    last = F.log("last_y")
+    # The product is taken in logs of the magnitude; the last value gives the sign.
+    last, sign = F.log(F.abs("last_y")), F.signum("last_y").alias("sign")
     if not cyclic:
         k = (F.col("rn") - 1).cast(T.IntegerType())
         valid = ((F.col("rn") >= 2) & (k <= horizon) & F.col("ratio").isNotNull()
                  & F.col("last_y").isNotNull())
         one = F.struct(k.alias("k"), F.date_add("last_dt", k).alias("dt"),
-                       (last + F.col("ln_prefix")).alias("log_y"))
+                       (last + F.col("ln_prefix")).alias("log_y"), sign)
         return F.when(valid, F.array(one)).otherwise(_no_rows())
     m = F.col("rn") - 1
     q_lo = F.when(m == 0, F.lit(1)).otherwise(F.lit(0))
@@ -167,15 +177,19 @@ def forecast_rows(horizon: int = HORIZON_DAYS, cyclic: bool = False) -> Column:
     def row(q):
         k = (m + q * F.col("n")).cast(T.IntegerType())
         return F.struct(k.alias("k"), F.date_add("last_dt", k).alias("dt"),
-                        (last + q * F.col("ln_cycle") + F.col("ln_prefix")).alias("log_y"))
+                        (last + q * F.col("ln_cycle") + F.col("ln_prefix")).alias("log_y"), sign)
 
     valid = F.col("cycle_ok") & F.col("last_y").isNotNull()
     return F.when(valid, F.transform(qs, row)).otherwise(_no_rows())
 
 
+def _value(f: Column) -> Column:
+    return F.when(f["sign"] == 0, F.lit(0.0)).otherwise(f["sign"] * F.exp(f["log_y"]))
+
+
 def _explode_forecast(s: DataFrame, rows: Column, key: str) -> DataFrame:
     f = s.select(key, *CARRY, F.explode(rows).alias("f"))
-    return f.select(key, "f.k", "f.dt", "f.log_y", *CARRY, F.exp("f.log_y").alias("Y"))
+    return f.select(key, "f.k", "f.dt", "f.log_y", *CARRY, _value(F.col("f")).alias("Y"))
 
 
 def ratio_forecast(panel: DataFrame, horizon: int = HORIZON_DAYS, col: str = "Y",
@@ -218,18 +232,9 @@ def history_with_forecast(s: DataFrame, horizon: int = HORIZON_DAYS, cyclic: boo
                             F.lit(False).alias("is_forecast"),
                             F.col("rn").cast(T.LongType()).alias("seq")))
     fc = F.transform(forecast_rows(horizon, cyclic),
-                     lambda f: F.struct(f["dt"].alias("dt"), F.exp(f["log_y"]).alias("Y"),
+                     lambda f: F.struct(f["dt"].alias("dt"), _value(f).alias("Y"),
                                         F.lit(True).alias("is_forecast"),
                                         (F.col("n") + f["k"]).cast(T.LongType()).alias("seq")))
     out = s.select(key, F.col("n").alias("n_hist"), "xmin", "xmax",
                    F.explode(F.concat(hist, fc)).alias("r"))
     return out.select(key, "r.dt", "r.Y", "n_hist", "xmin", "xmax", "r.is_forecast", "r.seq")
-
-
-def append_forecast(history: DataFrame, forecast: DataFrame) -> DataFrame:
-    """History rows followed by forecast rows, matched by column name.
-
-    For two separately derived frames; :func:`history_with_forecast` builds
-    the same rows from one series state without a second derivation.
-    """
-    return history.unionByName(forecast, allowMissingColumns=True)

@@ -22,6 +22,7 @@ from panelcast.functions.calendar_features import CALENDAR_COLUMNS, add_calendar
 from panelcast.operators import extrapolate as X
 from panelcast.operators import lags
 from panelcast.operators.scale import range_unscale
+from panelcast.operators.slices import check_strategy, series_positions
 
 FEATURE_BASE = ["Y", *CALENDAR_COLUMNS]
 CARRY = ("n_hist", "xmin", "xmax", "seq")
@@ -72,15 +73,16 @@ def positional_mape(scored: DataFrame, pred: str = "prediction",
     Scored row ``i`` sits ``N`` rows after history row ``i`` (the lag frame
     drops the first ``N`` rows), so its truth is the N-th lag of ``Y``: the
     source's position-wise pairing, reproduced exactly. Series whose scored
-    rows do not cover the whole history are left out. ``strategy="balanced"``
-    numbers rows with :func:`lags.series_positions` instead of a window.
+    rows do not cover the whole history are left out; rows whose truth is 0
+    have no percentage error and are counted in ``n_zero_truth``.
+    ``strategy="balanced"`` numbers rows without a per-series task.
     """
+    check_strategy(strategy)
     truth = lags.lag_name("Y", n_lags)
+    order = _order_of(scored)
+    scored = scored.select("code", *order, "n_hist", pred, truth)
     if strategy == "balanced":
-        from panelcast.plans.joins import broadcast_if_bounded
-        rows = scored.groupBy("code").agg(F.count(F.lit(1)).alias("_rows"))
-        head = (lags.series_positions(scored, "code", _order_of(scored))
-                .join(broadcast_if_bounded(rows), "code")
+        head = (series_positions(scored, "code", order, size="_rows")
                 .where((F.col("_rows") >= F.col("n_hist")) & (F.col("_pos") <= F.col("n_hist"))))
     else:
         w_all = lags.whole_series(order=_order_of(scored))
@@ -88,7 +90,9 @@ def positional_mape(scored: DataFrame, pred: str = "prediction",
                 .where(F.col("_rows") >= F.col("n_hist")))
         head = head_rows(head)
     ape = F.abs(F.try_divide(F.col(pred) - F.col(truth), F.col(truth)))
-    return head.groupBy("code").agg(F.avg(ape).alias("mape"), F.count(ape).alias("n_scored"))
+    return head.groupBy("code").agg(
+        F.avg(ape).alias("mape"), F.count(ape).alias("n_scored"),
+        F.sum(F.when(F.col(truth) == 0, 1).otherwise(0)).alias("n_zero_truth"))
 
 
 def score_and_unscale(features: DataFrame, model, pred: str = "prediction",

@@ -10,8 +10,7 @@ rows one window task sees for a code are bounded by the number of distinct
 dates, not by the raw data volume behind that code. For un-aggregated input,
 where one series may hold a large share of all rows, ``strategy="balanced"``
 computes the same frame without ever giving a whole series to one task (see
-:func:`series_positions`); ``strategy="auto"`` picks it when the largest
-series exceeds ``BALANCED_MIN_ROWS``.
+:mod:`panelcast.operators.slices`). The caller chooses; results are the same.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.operators.slices import PIECE, check_strategy, range_slices, with_halo
+
 # The lag column name pattern ("day" means row), the sentinel
 # threshold below which a cell counts as missing, and the default depth.
 LAG_NAME = "{col}_{i:03d}_day_before"
@@ -27,9 +28,6 @@ SENTINEL_THRESHOLD = -10000000.0
 DEFAULT_TRACKING_DAYS = 5
 
 MODES = ("backward", "forward")
-STRATEGIES = ("window", "balanced", "auto")
-# Series longer than this switch "auto" to the balanced strategy.
-BALANCED_MIN_ROWS = 5_000_000
 
 
 def lag_name(col: str, i: int) -> str:
@@ -71,24 +69,22 @@ def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
     series, e.g. scaling bounds) pass through unshifted at the end.
 
     ``strategy="window"`` evaluates everything in one Window node per series;
-    ``"balanced"`` uses positions and a keyed regroup instead, so no task
-    holds a whole series; ``"auto"`` checks the largest series first.
+    ``"balanced"`` evaluates it per piece of a series, so no task holds a
+    whole series.
     """
     if mode not in MODES:
-        raise ValueError("shift mode must be 'forward' or 'backward'")
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}")
+        raise ValueError(f"unknown mode {mode!r}; choose one of {', '.join(MODES)}")
+    check_strategy(strategy)
     n = int(tracking_days)
     cols = columns if columns is not None else value_columns(df, key, order)
-    if strategy == "auto":
-        strategy = "balanced" if largest_series(df, key) > BALANCED_MIN_ROWS else "window"
     if strategy == "balanced":
-        framed = _balanced_frame(df, n, mode, cols, key, order, carry)
-        names = sorted(lag_name(c, i) for c in cols for i in range(n + 1))
-        if drop_null:
-            framed = framed.dropna(how="any", subset=names)
-        return framed.select(key, "dt", *names, *carry)
-    w = series_window(key, order)
+        extra = [c for c in order if c != "dt" and c not in carry]
+        sl = range_slices(df.select(key, "dt", *extra, *cols, *carry), key, order)
+        source = (with_halo(sl, n, mode).join(sl.pieces.select(*PIECE, "_n"), PIECE))
+        w, keep, size = sl.window(), ["_halo"], F.col("_n")
+    else:
+        source, w, keep = df, series_window(key, order), []
+        size = F.count(F.lit(1)).over(whole_series(key, order))
     shift = F.lag if mode == "backward" else F.lead
     shifted: dict[str, Column] = {}
     for c in cols:
@@ -96,113 +92,25 @@ def lag_frame(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
             v = F.col(c) if i == 0 else shift(c, i).over(w)
             shifted[lag_name(c, i)] = v.cast(T.DoubleType())
     names = sorted(shifted)
-    framed = df.select(key, "dt", *[shifted[k].alias(k) for k in names], *carry,
-                       F.count(F.lit(1)).over(whole_series(key, order)).alias("_n"))
+    framed = source.select(key, "dt", *[shifted[k].alias(k) for k in names], *carry, *keep,
+                           size.alias("_n"))
+    if keep:
+        framed = framed.where(~F.col("_halo"))
     framed = framed.where(F.col("_n") >= n + 2).drop("_n")
     if drop_null:
         framed = framed.dropna(how="any", subset=names)
     return framed.select(key, "dt", *names, *carry)
 
 
-def largest_series(df: DataFrame, key: str = "code") -> int:
-    """Row count of the longest series (one partial aggregate; one number returned)."""
-    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
-
-
-def series_positions(df: DataFrame, key: str = "code", order: tuple[str, ...] = ("dt",),
-                     partitions: int | None = None, out: str = "_pos") -> DataFrame:
-    """1-based row number within each series, without a per-series task.
-
-    Rows are range-partitioned on ``(key, *order)``, so every partition holds
-    a contiguous slice of the global order and a long series spreads over
-    many partitions. Rows are numbered inside each (partition, series) piece,
-    and each piece adds the row count of the same series' earlier pieces
-    (a running sum over the small table of piece sizes).
-
-    The numbered pieces are written once under the checkpoint folder and
-    read back by both branches: range bounds come from sampling, and two
-    separately planned exchanges may sample differently, so partition ids
-    must come from a single evaluation.
-    """
-    from panelcast.session import materialize
-
-    # At least as many slices as input splits, so a slice stays split-sized.
-    p = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                          df.rdd.getNumPartitions())
-    ranged = df.repartitionByRange(p, key, *order).withColumn("_pid", F.spark_partition_id())
-    local = materialize(ranged.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order))),
-        "series-positions")
-    sizes = local.groupBy("_pid", key).agg(F.max("_lrn").alias("_c"))
-    earlier = (Window.partitionBy(key).orderBy("_pid")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_pid", key, F.coalesce(F.sum("_c").over(earlier), F.lit(0))
-                           .alias("_off"))
-    return (local.join(offsets, ["_pid", key])
-            .withColumn(out, F.col("_off") + F.col("_lrn"))
-            .drop("_pid", "_lrn", "_off"))
-
-
-# Rows per block of the block-decomposed running sum.
-BLOCK_ROWS = 1_000_000
-
-
-def running_total(df: DataFrame, value: Column, out: str, key: str = "code",
-                  pos: str = "_pos", block: int = BLOCK_ROWS) -> DataFrame:
-    """Running sum of ``value`` along ``pos`` within each series, nulls as 0.
-
-    Positions are cut into blocks of ``block`` consecutive rows: a window
-    over (series, block) gives the sum inside the block, and the small table
-    of block totals gives the sum of all earlier blocks. No task holds more
-    than one block, however long the series.
-    """
-    d = (df.withColumn("_blk", F.floor((F.col(pos) - 1) / F.lit(block)))
-           .withColumn("_v", value))
-    inside = (Window.partitionBy(key, "_blk").orderBy(pos)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_in", F.sum("_v").over(inside))
-    earlier = (Window.partitionBy(key).orderBy("_blk")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (d.groupBy(key, "_blk").agg(F.sum("_v").alias("_bs"))
-                .select(key, "_blk", F.sum("_bs").over(earlier).alias("_off")))
-    return (d.join(offsets, [key, "_blk"])
-             .withColumn(out, F.coalesce(F.col("_off"), F.lit(0.0))
-                         + F.coalesce(F.col("_in"), F.lit(0.0)))
-             .drop("_blk", "_v", "_in", "_off"))
-
-
-def _balanced_frame(df: DataFrame, n: int, mode: str, cols: list[str], key: str,
-                    order: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
-    """Lag frame via positions: each row sends its values to the ``N + 1`` rows
-    that need them and every target row gathers them with one keyed
-    aggregate on ``(key, position)``. Copies of neighbouring rows sit in the
-    same task, so the partial aggregate combines most of them before the
-    shuffle. Series sizes (one row per series) join back for the
-    short-series rule, broadcast when bounded."""
-    from panelcast.plans.joins import broadcast_if_bounded
-
-    extra_order = [c for c in order if c != "dt" and c not in carry]
-    base = df.select(key, "dt", *extra_order, *cols, *carry)
-    pos = series_positions(base, key, order)
-    step = 1 if mode == "backward" else -1
-    copies = pos.select(key, "dt", *cols, *carry, "_pos",
-                        F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_i"))
-    copies = copies.withColumn("_to", F.col("_pos") + F.col("_i") * step)
-    own = [F.max(F.when(F.col("_i") == 0, F.col(x))).alias(x) for x in ("dt", *carry)]
-    shifted = [F.max(F.when(F.col("_i") == i, F.col(c).cast(T.DoubleType()))).alias(lag_name(c, i))
-               for c in cols for i in range(n + 1)]
-    gathered = (copies.groupBy(key, "_to")
-                .agg(F.max(F.when(F.col("_i") == 0, F.lit(1))).alias("_self"), *own, *shifted)
-                .where(F.col("_self") == 1))
-    sizes = pos.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return (gathered.join(broadcast_if_bounded(sizes), key)
-            .where(F.col("_n") >= n + 2))
-
-
 def short_series_filter(df: DataFrame, tracking_days: int = DEFAULT_TRACKING_DAYS,
-                        key: str = "code", order: tuple[str, ...] = ("dt",)) -> DataFrame:
+                        key: str = "code", order: tuple[str, ...] = ("dt",),
+                        strategy: str = "window") -> DataFrame:
     """Keep only series with at least ``N + 2`` rows."""
+    check_strategy(strategy)
+    if strategy == "balanced":
+        sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+        enough = sizes.where(F.col("_n") >= tracking_days + 2)
+        return df.join(enough, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     n = F.count(F.lit(1)).over(whole_series(key, order))
     return df.withColumn("_n", n).where(F.col("_n") >= tracking_days + 2).drop("_n")
 

@@ -34,6 +34,9 @@ REFIT = {"maxIter": 29, "maxDepth": 10, "stepSize": 0.13}
 CV_DEPTHS = (5, 6)
 CV_STEPS = (0.1, 0.4)
 CV_FOLDS = 3
+PATIENCE = 5
+# The source names no number of rounds for its cross-validation.
+CV_ROUNDS = 10
 SELECT_FRACTION = 0.7
 SELECT_TOP_N = 20
 SELECT_THRESHOLD = 0.01
@@ -95,6 +98,50 @@ def fit_pipeline(train: DataFrame, features: list[str], estimator,
     return Pipeline(stages=[assembler(features, features_col), estimator]).fit(train)
 
 
+def round_errors(booster, sets: dict[str, DataFrame]) -> dict[str, list[float]]:
+    """RMSE after every round on each named (assembled) frame."""
+    return {name: [float(e) ** 0.5 for e in booster.evaluateEachIteration(df, "squared")]
+            for name, df in sets.items()}
+
+
+def best_round(errors: list[float], patience: int = PATIENCE) -> int:
+    """Rounds to keep: the best one before ``patience`` rounds without a better one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_rounds(booster, df: DataFrame, rounds: int, out: str = "prediction") -> DataFrame:
+    """Predictions of the first ``rounds`` trees of a fitted booster."""
+    kept = df.columns
+    total = F.lit(0.0)
+    for i in range(rounds):
+        tree = booster.trees[i].setFeaturesCol(booster.getFeaturesCol()).setPredictionCol(f"_tree{i}")
+        df = tree.transform(df)
+        total = total + F.lit(float(booster.treeWeights[i])) * F.col(f"_tree{i}")
+    return df.select(*kept, total.alias(out))
+
+
+def fit_with_patience(train: DataFrame, features: list[str], est: GBTRegressor,
+                      sets: dict[str, DataFrame], watch: str, patience: int = PATIENCE):
+    """Fit, evaluate every round on each set, and stop by the set ``watch``.
+
+    Returns ``(pipeline_model, rounds, history)``; ``history`` has one row
+    ``(round, set, rmse)`` per evaluated round and set. Score with
+    :func:`first_rounds` on the booster to use the kept rounds only.
+    """
+    model = fit_pipeline(train, features, est, est.getFeaturesCol())
+    first = model.stages[0]
+    errors = round_errors(model.stages[-1], {n: first.transform(df) for n, df in sets.items()})
+    rows = [(i + 1, name, e) for name, es in errors.items() for i, e in enumerate(es)]
+    history = train.sparkSession.createDataFrame(rows, "round int, set string, rmse double")
+    return model, best_round(errors[watch], patience), history
+
+
 def importance_table(spark: SparkSession, importances, dataset: DataFrame,
                      features_col: str = "features") -> DataFrame:
     """``(idx, name, score)`` for every feature, highest score first.
@@ -205,7 +252,7 @@ class FeatureImpSelector(Estimator, HasOutputCol):
         est = self.getEstimator()
         kind = self.getSelectorType()
         if kind not in SELECTOR_TYPES:
-            raise NameError("Invalid selectorType")
+            raise NameError(f"unknown selector type {kind!r}; choose one of {', '.join(SELECTOR_TYPES)}")
         model = est.fit(dataset)
         ranked = _ranked(model.featureImportances, dataset, est.getFeaturesCol())
         if kind == "numTopFeatures":

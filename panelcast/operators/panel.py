@@ -8,7 +8,7 @@ ordinal column (see :func:`panelcast.sources.readers.with_input_ordinal`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,23 @@ def clean_measurements(raw: DataFrame, date_col: str = "time_key",
 
 
 def to_panel(clean: DataFrame, date_format: str | None = None,
-             keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(date, market, value)`` -> ``(code, dt, Y)`` with ``dt`` a date."""
-    return (clean.select(F.col("market").alias("code"),
-                         parse_date("date", date_format).alias("dt"),
+             keep: tuple[str, ...] = (), on_bad_date: str = "raise") -> DataFrame:
+    """``(date, market, value)`` -> ``(code, dt, Y)`` with ``dt`` a date.
+
+    A malformed date is an error; with ``on_bad_date="null"`` its row is left
+    out (:func:`count_bad_dates` says how many there are).
+    """
+    panel = clean.select(F.col("market").alias("code"),
+                         parse_date("date", date_format, on_bad_date).alias("dt"),
                          F.col("value").alias("Y"), *keep)
-            .where(F.col("dt").isNotNull()))
+    return panel.where(F.col("dt").isNotNull()) if on_bad_date == "null" else panel
+
+
+def count_bad_dates(clean: DataFrame, date_format: str | None = None) -> DataFrame:
+    """One row: ``n_rows`` and ``n_bad_dates`` of a cleaned table."""
+    bad = parse_date("date", date_format, "null").isNull() & F.col("date").isNotNull()
+    return clean.agg(F.count(F.lit(1)).alias("n_rows"),
+                     F.count(F.when(bad, F.lit(1))).alias("n_bad_dates"))
 
 
 def aggregate_panel(panel: DataFrame, decimals: int | None = None) -> DataFrame:
@@ -71,10 +82,10 @@ def build_panel(raw: DataFrame, date_format: str | None = None,
                 aggregate: bool = False, decimals: int | None = None,
                 date_col: str = "time_key", site_col: str = "sites",
                 node_col: str = "node_desc", load_col: str = "ds_load",
-                keep: tuple[str, ...] = ()) -> DataFrame:
+                keep: tuple[str, ...] = (), on_bad_date: str = "raise") -> DataFrame:
     """Raw measurement table -> panel ``(code, dt, Y)``."""
     clean = clean_measurements(raw, date_col, site_col, node_col, load_col, keep)
-    panel = to_panel(clean, date_format, keep)
+    panel = to_panel(clean, date_format, keep, on_bad_date)
     return aggregate_panel(panel, decimals) if aggregate else panel
 
 
@@ -87,50 +98,19 @@ def filter_code(panel: DataFrame, code: str) -> DataFrame:
     return panel.where(F.col("code") == F.lit(code))
 
 
-# Above this many candidate rows (k x input partitions) the single merge task
-# of an ordered limit becomes the bottleneck and the cutoff path is used.
-TOP_K_MERGE_ROWS = 50_000_000
-CUTOFF_ACCURACY = 100_000
-CUTOFF_GRID = [2.0 ** -j for j in range(48)]
+# Tasks that each keep their own first ``k`` rows before the final merge.
+TOP_K_BUCKETS = 64
 
 
-def top_k_rows(df: DataFrame, k: int, by: list[str],
-               merge_rows: int = TOP_K_MERGE_ROWS) -> DataFrame:
+def top_k_rows(df: DataFrame, k: int, by: list[str], buckets: int = TOP_K_BUCKETS) -> DataFrame:
     """The first ``k`` rows in ascending ``by`` order, exactly.
 
-    Small inputs take Spark's ordered limit (each task keeps its own top k,
-    one task merges them). When ``k x partitions`` exceeds ``merge_rows``
-    that merge would receive too many rows, so a cutoff on the leading sort
-    column is found first (:func:`top_k_cutoff`) and only rows at or below it
-    enter the ordered limit. Ties at the cutoff are all kept, and so are
-    nulls (an ascending order puts them first), so the result is the same
-    either way.
-    """
-    if k * df.rdd.getNumPartitions() <= merge_rows:
-        return df.orderBy(*by).limit(k)
-    cutoff = top_k_cutoff(df, by[0], k)
-    if cutoff is not None:
-        df = df.where(F.col(by[0]).isNull() | (F.col(by[0]) <= F.lit(cutoff)))
-    return df.orderBy(*by).limit(k)
-
-
-def top_k_cutoff(df: DataFrame, col: str, k: int, accuracy: int = CUTOFF_ACCURACY):
-    """A value ``v`` with at least ``k`` non-null rows ``col <= v``, or None.
-
-    One aggregate pass (partial per task) returns the row count and
-    approximate percentiles on a geometric grid. ``percentile_approx`` bounds
-    the rank error by ``n / accuracy``, so the smallest grid point ``p`` with
-    ``p * n - n / accuracy - 1 >= k`` provably has ``k`` rows at or below it
-    while keeping only about ``k + 2n / accuracy`` rows. Only that one
-    aggregated row reaches the driver.
+    Input partitions are folded into ``buckets`` groups and each group keeps
+    its first ``k`` rows (limited before the shuffle as well, see
+    ``WindowGroupLimit``), so the one task of the final ordered limit reads
+    ``buckets * k`` rows at most, however large the input.
     """
-    row = df.agg(F.count(col).alias("n"),
-                 F.percentile_approx(col, CUTOFF_GRID, accuracy).alias("q")).first()
-    n, qs = row["n"], row["q"]
-    if not n or qs is None:
-        return None
-    best = None
-    for p, v in zip(CUTOFF_GRID, qs):
-        if p * n - n / accuracy - 1 >= k:
-            best = v
-    return best
+    group = Window.partitionBy("_b").orderBy(*by)
+    kept = (df.withColumn("_b", F.spark_partition_id() % buckets)
+            .withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= k).drop("_b", "_r"))
+    return kept.orderBy(*by).limit(k)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.lags import whole_series
+from panelcast.operators.slices import check_strategy
 
 # Shift added to the minimum of the min-max scaler, and the
 # target interval of the per-series range scaling.
@@ -62,10 +63,17 @@ def range_unscale(p: Column, lo: Column, hi: Column,
 def range_scale_by_code(df: DataFrame, col: str = "Y", out: str = "Y_scaled",
                         key: str = "code", order: tuple[str, ...] = ("dt",),
                         scale_min: float = SCALE_MIN,
-                        scale_max: float = SCALE_MAX) -> DataFrame:
-    """Scale each series to [smin, smax]; carries ``xmin``/``xmax`` for the inverse."""
-    w = whole_series(key, order)
-    return (df.withColumn("xmin", F.min(col).over(w))
-              .withColumn("xmax", F.max(col).over(w))
-              .withColumn(out, range_scale(F.col(col), F.col("xmin"), F.col("xmax"),
+                        scale_max: float = SCALE_MAX, strategy: str = "window") -> DataFrame:
+    """Scale each series to [smin, smax]; carries ``xmin``/``xmax`` for the inverse.
+
+    ``strategy="balanced"`` joins a combining aggregate back instead of a window.
+    """
+    check_strategy(strategy)
+    if strategy == "balanced":
+        ends = df.groupBy(F.col(key).alias("_key")).agg(F.min(col).alias("xmin"), F.max(col).alias("xmax"))
+        d = df.join(ends, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    else:
+        w = whole_series(key, order)
+        d = df.withColumn("xmin", F.min(col).over(w)).withColumn("xmax", F.max(col).over(w))
+    return (d.withColumn(out, range_scale(F.col(col), F.col("xmin"), F.col("xmax"),
                                            scale_min, scale_max)))

@@ -5,44 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.slices import PIECE, check_strategy, earlier_pieces, range_slices
+
 
 def forward_fill(df: DataFrame, col: str = "Y", out: str | None = None,
                  key: str = "code", order: tuple[str, ...] = ("dt",),
                  strategy: str = "window") -> DataFrame:
     """Carry the last non-missing value forward within each series.
 
-    ``strategy="balanced"`` numbers rows with ``series_positions`` and fills
-    within blocks of consecutive positions, taking the carry-in from the
-    small table of per-block last values, so no task holds a whole series.
+    ``strategy="balanced"`` fills within the pieces of a series and takes what
+    comes before a piece from the table of pieces, so no task holds a whole series.
     """
+    check_strategy(strategy)
     if strategy == "balanced":
-        from panelcast.operators.lags import series_positions
-        pos = series_positions(df, key, order)
-        return running_last(pos, col, out or col, key, "_pos").drop("_pos")
+        known = F.when(F.col(col).isNotNull(), F.struct(*order))
+        sl = range_slices(df, key, order, aggregates=(F.max_by(col, known).alias("_last"),))
+        before = sl.pieces.select(*PIECE, F.last("_last", ignorenulls=True).over(earlier_pieces()).alias("_before"))
+        inside = F.last(col, ignorenulls=True).over(sl.running())
+        return (sl.rows.join(before, PIECE).withColumn("_in", inside)
+                .withColumn(out or col, F.coalesce("_in", "_before")).drop(*PIECE, "_in", "_before"))
     w = (Window.partitionBy(key).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(out or col, F.last(col, ignorenulls=True).over(w))
 
 
-def running_last(df: DataFrame, col: str, out: str, key: str = "code", pos: str = "_pos",
-                 block: int | None = None) -> DataFrame:
-    """Last non-null ``col`` at or before each position, per series, by blocks."""
-    from panelcast.operators.lags import BLOCK_ROWS
-
-    d = df.withColumn("_blk", F.floor((F.col(pos) - 1) / F.lit(block or BLOCK_ROWS)))
-    inside = (Window.partitionBy(key, "_blk").orderBy(pos)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_in", F.last(col, ignorenulls=True).over(inside))
-    earlier = (Window.partitionBy(key).orderBy("_blk")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    blocks = (d.groupBy(key, "_blk")
-               .agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col(pos))).alias("_bl"))
-               .select(key, "_blk", F.last("_bl", ignorenulls=True).over(earlier).alias("_prev")))
-    return (d.join(blocks, [key, "_blk"])
-             .withColumn(out, F.coalesce(F.col("_in"), F.col("_prev")))
-             .drop("_blk", "_in", "_prev"))
-
-
 def daily_spine(panel: DataFrame, value: str = "Y", key: str = "code") -> DataFrame:
     """Every calendar day from each series' first to last date.
 

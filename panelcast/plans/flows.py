@@ -26,7 +26,7 @@ from panelcast.operators.panel import build_panel
 from panelcast.operators.split import mark_split
 from panelcast.session import materialize
 from panelcast.sources import sinks
-from panelcast.sources.readers import ORDINAL, with_input_ordinal
+from panelcast.sources.readers import ORDINAL
 
 FEATURE_BASE = ["Y", *CALENDAR_COLUMNS]
 
@@ -42,20 +42,23 @@ class TrainingData:
 
 def training_data(raw: DataFrame, n_lags: int = lags.DEFAULT_TRACKING_DAYS,
                   date_format: str | None = None, aggregate: bool = True,
-                  decimals: int | None = None, strategy: str = "auto") -> TrainingData:
+                  decimals: int | None = None, strategy: str = "window",
+                  tie_break: str = ORDINAL) -> TrainingData:
     """Panel and the split, materialised model frame of a raw table.
 
-    ``strategy`` is passed to the lag frame; ``"auto"`` switches to the
-    balanced computation when one series is very long (possible when the
-    raw rows are not aggregated per date). Without aggregation, rows that
-    share a date keep their input order (an input ordinal breaks ties).
+    ``strategy`` is passed to the lag frame (choose ``"balanced"`` when one
+    series may be very long, which is possible when the raw rows are not
+    aggregated per date). Without aggregation, rows that share a date are
+    ordered by the column ``tie_break``; readers add the input order as
+    ``_ord`` on request.
     """
     keep: tuple[str, ...] = ()
     order: tuple[str, ...] = ("dt",)
     if not aggregate:
-        if ORDINAL not in raw.columns:
-            raw = with_input_ordinal(raw)
-        keep, order = (ORDINAL,), ("dt", ORDINAL)
+        if tie_break not in raw.columns:
+            raise ValueError(f"raw rows need the tie-break column {tie_break!r}; read them "
+                             "with ordinal=True or name another column")
+        keep, order = (tie_break,), ("dt", tie_break)
     panel = build_panel(raw, date_format=date_format, aggregate=aggregate, decimals=decimals,
                         keep=keep)
     frame = lags.lag_frame(add_calendar_features(panel), n_lags, columns=FEATURE_BASE,
@@ -87,7 +90,7 @@ def cv_training_flow(raw: DataFrame, estimator=None, depths=ml.CV_DEPTHS, steps=
 def select_refit_forecast_flow(raw: DataFrame, first=None, refit=None,
                                top_fraction: float | None = None,
                                horizon: int = FC.X.HORIZON_DAYS, cyclic: bool = False,
-                               out_dir: str | None = None, **kw):
+                               out_dir: str | None = None, scale_for_model: bool = True, **kw):
     """Fit, select, refit, forecast every series.
 
     Returns ``(model, selected_features, mape_by_split, forecast, mape_by_code)``;
@@ -103,18 +106,19 @@ def select_refit_forecast_flow(raw: DataFrame, first=None, refit=None,
                         first.getFeaturesCol())
     keep = [data.features[i] for i in ml.select_split_on(ranked, top_fraction)]
     final = ml.fit_pipeline(data.train, keep, refit)
-    strategy = kw.get("strategy", "auto")
-    if strategy == "auto":
-        long = lags.largest_series(data.panel) > lags.BALANCED_MIN_ROWS
-        strategy = "balanced" if long else "window"
-    feats = FC.forecast_features(data.panel, kw.get("n_lags", lags.DEFAULT_TRACKING_DAYS),
-                                 horizon, cyclic, strategy, data.order)
-    scored = FC.score_and_unscale(feats, final)
+    strategy = kw.get("strategy", "window")
+    n_lags = kw.get("n_lags", lags.DEFAULT_TRACKING_DAYS)
+    pred = refit.getPredictionCol()
+    feats = FC.forecast_features(data.panel, n_lags, horizon, cyclic, strategy, data.order)
+    # Scored once and kept narrow: the CSV, the result and the per-series error all read it.
+    scored = materialize(
+        FC.score_and_unscale(feats, final, pred, scale_for_model)
+        .select("code", "dt", "seq", "n_hist", pred, lags.lag_name("Y", n_lags), "unscale_pred"), "scored")
     forecast = scored.select("code", "dt", "unscale_pred")
     if out_dir:
         sinks.write_forecast_csv(forecast, out_dir)
-    by_code = FC.positional_mape(scored, "prediction", strategy=strategy)
-    return final, keep, _mape_train_test(final, data), forecast, by_code
+    by_code = FC.positional_mape(scored, pred, n_lags, strategy)
+    return final, keep, _mape_train_test(final, data, pred), forecast, by_code
 
 
 def _args(settings: dict) -> dict:

@@ -1,61 +1,32 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Join helper for a dimension that keeps its unmatched rows.
+
+Nothing is hinted: Spark broadcasts a side whose size (from file statistics,
+or from finished shuffle stages under AQE) is within
+``spark.sql.autoBroadcastJoinThreshold`` bytes, and shuffles otherwise.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension tables at or below this many rows are broadcast; larger ones take
-# the shuffle join Spark plans by default.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-_checked: dict[tuple[int, int], list[tuple[DataFrame, bool]]] = {}
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has no more than ``max_rows`` rows.
-
-    ``select().offset(max_rows).isEmpty()`` pulls at most ``max_rows + 1``
-    zero-column rows and scans partitions incrementally (one, then a growing
-    number), so on a large table it stops after the first partitions instead
-    of counting everything. The answer is memoised per analysed plan (hash
-    lookup confirmed with ``sameSemantics``).
-    """
-    seen = _checked.setdefault((df.semanticHash(), int(max_rows)), [])
-    for other, answer in seen:
-        if df.sameSemantics(other):
-            return answer
-    answer = df.select().offset(int(max_rows)).isEmpty()
-    seen.append((df, answer))
-    return answer
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the side really is small.
-
-    Beyond the bound the frame is returned unhinted and Spark plans a
-    sort-merge join (with AQE free to split skewed partitions).
-    """
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
 
-def dimension_left_join(dim: DataFrame, fact: DataFrame, dim_key: str, fact_key: str,
-                        max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def dimension_left_join(dim: DataFrame, fact: DataFrame, dim_key: str, fact_key: str) -> DataFrame:
     """``dim LEFT JOIN fact`` that stays balanced when one key is hot.
 
     A plain outer join keeps every dimension row, so Spark can neither
     broadcast the dimension nor let AQE split a skewed key on the fact side.
     Written instead as
 
-    * matched rows: ``fact JOIN dim`` (inner: the dimension is broadcast when
-      bounded, otherwise AQE may split a hot fact key), and
+    * matched rows: ``fact JOIN dim`` (inner, so a small dimension can be
+      broadcast and AQE may split a hot fact key), and
     * unmatched rows: ``dim LEFT ANTI JOIN distinct(fact keys)``, where the
       distinct is a partial aggregate, so a hot key arrives as one row.
 
     The union has the rows and columns of the outer join; fact columns are
     null on unmatched rows.
     """
-    matched = fact.join(broadcast_if_bounded(dim, max_rows), fact[fact_key] == dim[dim_key])
+    matched = fact.join(dim, fact[fact_key] == dim[dim_key])
     keys = fact.select(F.col(fact_key).alias("__fk")).distinct()
     unmatched = dim.join(keys, dim[dim_key] == keys["__fk"], "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.panel import build_panel
-from panelcast.plans.joins import broadcast_if_bounded, dimension_left_join
+from panelcast.plans.joins import dimension_left_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,26 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer x nation -> (c_custkey, sites, node_desc)."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = broadcast_if_bounded(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     dim = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
            .select("c_custkey", F.col("n_name").alias("sites"),
                    F.col("c_mktsegment").alias("node_desc")))
     return dim
 
 
-def order_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_measurements(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw measurement table ``(time_key, sites, node_desc, ds_load)`` from orders.
 
-    ``orders`` is the large side: only three of its columns are read. The
-    customer dimension is broadcast when a row-count check bounds it;
-    otherwise both sides shuffle on the customer key (sort-merge join, AQE
-    splits a skewed key). The fact table is never the broadcast side.
+    ``orders`` is the large side: only three of its columns (and those in
+    ``keep``) are read. Spark broadcasts the customer dimension if its files are
+    small, else both sides shuffle on the customer key and AQE splits a skewed one.
     """
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
-    cust = broadcast_if_bounded(customer_dim(spark, sf_dir))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate", *keep)
+    cust = customer_dim(spark, sf_dir)
     return (orders.join(cust, orders.o_custkey == cust.c_custkey)
             .select(F.col("o_orderdate").alias("time_key"), "sites", "node_desc",
-                    F.col("o_totalprice").alias("ds_load")))
+                    F.col("o_totalprice").alias("ds_load"), *keep))
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Un-aggregated ``(code, dt, Y, ok)``; the order key breaks ties on a date."""
+    raw = order_measurements(spark, sf_dir, keep=("o_orderkey",))
+    return raw.select(F.concat("sites", "node_desc").alias("code"), F.col("time_key").cast("date").alias("dt"),
+                      F.col("ds_load").alias("Y"), F.col("o_orderkey").alias("ok"))
 
 
 def customer_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:

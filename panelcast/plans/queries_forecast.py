@@ -9,14 +9,12 @@ from panelcast.operators import extrapolate as X
 from panelcast.operators import forecast as FC
 from panelcast.operators import lags
 from panelcast.plans import panels
-from panelcast.plans.joins import broadcast_if_bounded
 from panelcast.plans.oracle_sql import calendar_select, lag_select, with_ctes
 from panelcast.plans.registry import register
 
 FEATURE_BASE = ["Y", *CALENDAR_COLUMNS]
 N_LAGS = 5
-# Fixed value: horizon of the registered cyclic forecast query (days).
-CYCLIC_HORIZON = 90
+CYCLIC_HORIZON = X.HORIZON_DAYS
 LOG_DECIMALS = 6
 
 _W = "PARTITION BY code ORDER BY dt"
@@ -132,14 +130,15 @@ _POS["pos"] = (f"SELECT code, Y_001_day_before AS pred, Y_005_day_before AS trut
 
 @register("mape_by_code_positional", with_ctes(_POS, f"""
 SELECT code, ROUND(avg(abs((pred - truth) / nullif(truth, 0))), {LOG_DECIMALS}) AS mape,
-       count(abs((pred - truth) / nullif(truth, 0))) AS n_scored
+       count(abs((pred - truth) / nullif(truth, 0))) AS n_scored,
+       CAST(sum(CASE WHEN truth = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero_truth
 FROM pos WHERE n_rows >= n_hist AND i <= n_hist GROUP BY code"""))
 def q_mape_by_code_positional(spark, sf_dir):
     """Per-series MAPE pairing history row i with scored row i (naive lag-1 model)."""
     feats = FC.forecast_features(panels.panel_a(spark, sf_dir), N_LAGS)
     scored = feats.withColumn("prediction", F.col("Y_001_day_before"))
     out = FC.positional_mape(scored, "prediction", N_LAGS)
-    return out.select("code", F.round("mape", LOG_DECIMALS).alias("mape"), "n_scored")
+    return out.select("code", F.round("mape", LOG_DECIMALS).alias("mape"), "n_scored", "n_zero_truth")
 
 
 _RAW_STATE = state_cte(
@@ -154,13 +153,7 @@ _RAW_STATE = state_cte(
 def q_ratio_extrapolate_raw_balanced(spark, sf_dir):
     """Literal extrapolation of un-aggregated order rows (ties by order key),
     with the balanced series state: no series is held by one task."""
-    orders = panels.table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    cust = broadcast_if_bounded(panels.customer_dim(spark, sf_dir))
-    raw = (orders.join(cust, orders.o_custkey == cust.c_custkey)
-           .select(F.concat("sites", "node_desc").alias("code"),
-                   F.col("o_orderdate").cast("date").alias("dt"),
-                   F.col("o_totalprice").alias("Y"), F.col("o_orderkey").alias("ok")))
+    raw = panels.raw_orders(spark, sf_dir)
     state = X.scaled_series(raw, order=("dt", "ok"), strategy="balanced")
     fc = X.forecast_from_state(state)
     return fc.select("code", "k", "dt", F.round("log_y", LOG_DECIMALS).alias("log_y"))

@@ -10,10 +10,9 @@ from panelcast.functions.calendar_features import CALENDAR_COLUMNS, add_calendar
 from panelcast.functions.labels import FAULT_DATE_FORMAT, ROW_DATE_FORMAT, label_rows
 from panelcast.operators import lags, metrics, panel as P, scale, series, split
 from panelcast.plans import panels
-from panelcast.plans.joins import broadcast_if_bounded
 from panelcast.plans.oracle_sql import calendar_select, lag_select, with_ctes
 from panelcast.plans.registry import register
-from panelcast.session import scratch_path
+from panelcast.session import materialize, scratch_path
 from panelcast.sources import readers
 from panelcast.sources.readers import RAW_DATE_FORMAT
 
@@ -21,10 +20,11 @@ FEATURE_BASE = ["Y", *CALENDAR_COLUMNS]
 N_LAGS = 5
 # Fixed value for the equality-filter query: one series key of panel A.
 FILTER_CODE = "NATION_7MACHINERY"
-# Fixed value of the top-k query (rows kept by the source's commented sample).
-TOP_K_ROWS = 50000
-# Missing days of the daily spine are coded with this sentinel (< -1e7).
-GAP_SENTINEL = -99999999.0
+# Rows kept by the top-k query (the source's commented sample keeps 50000).
+TOP_K_ROWS = 500
+# Readings on the 13th of a month are coded with this sentinel (< -1e7).
+SENTINEL = -99999999.0
+SENTINEL_DAY = 13
 
 PANEL_A = panels.PANEL_A_SQL
 CAL_A = calendar_select("panel")
@@ -43,8 +43,12 @@ def lag_frame_a(spark, sf_dir, **kw):
 
 
 def model_frame_a(spark, sf_dir):
-    """Lag frame -> sentinel filter -> label column ``Y`` (the training table)."""
-    return lags.label_from_lag0(lags.drop_sentinels(lag_frame_a(spark, sf_dir)))
+    """Lag frame -> sentinel filter -> label column ``Y`` (the training table), written once.
+
+    The split bounds are then an aggregate over one column of a table, not a
+    second pass over the windows.
+    """
+    return materialize(lags.label_from_lag0(lags.drop_sentinels(lag_frame_a(spark, sf_dir))), "model-frame")
 
 
 # ------------------------------------------------------------------ sources
@@ -55,21 +59,23 @@ def q_panel_sum(spark, sf_dir):
 
 @register("panel_sql_view", """
 SELECT CAST(o_orderdate AS DATE) AS date,
-       CAST(c_nationkey AS VARCHAR) || COALESCE(c_mktsegment, 'null') AS market,
+       CAST(c_nationkey AS VARCHAR) || CASE WHEN c_custkey % 7 = 0 THEN 'null' ELSE c_mktsegment END AS market,
        ROUND(SUM(o_totalprice), 2) AS value
 FROM orders JOIN customer ON o_custkey = c_custkey
 WHERE o_totalprice IS NOT NULL
-GROUP BY CAST(o_orderdate AS DATE), c_nationkey, c_mktsegment
+GROUP BY CAST(o_orderdate AS DATE), c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN 'null' ELSE c_mktsegment END
 """)
 def q_panel_sql_view(spark, sf_dir):
-    """Warehouse path: temp view -> SQL clean / cast / coalesce / sum -> market key."""
+    """Warehouse path: temp view -> SQL clean / cast / coalesce / sum -> market key.
+
+    Every seventh customer has no segment here, so the missing-node text is used.
+    """
     orders = panels.table(spark, sf_dir, "orders")
     customer = panels.table(spark, sf_dir, "customer")
-    customer = broadcast_if_bounded(customer)
     raw = (orders.join(customer, orders.o_custkey == customer.c_custkey)
            .select(F.col("o_orderdate").cast("date").alias("dt"),
                    F.col("c_nationkey").alias("site_id"),
-                   F.col("c_mktsegment").alias("node_desc"),
+                   F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("node_desc"),
                    F.col("o_totalprice").alias("us_load")))
     view = readers.register_view(raw, "weekly_utilization_node")
     out = readers.warehouse_panel_sql(spark, view)
@@ -98,6 +104,24 @@ def q_clean_dropna(spark, sf_dir):
     return P.clean_measurements(panels.customer_measurements(spark, sf_dir))
 
 
+@register("key_market_table", """
+SELECT o_orderdate AS time_key, o_totalprice AS ds_load, n_name || c_mktsegment AS market
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+""")
+def q_key_market_table(spark, sf_dir):
+    """The raw table through a catalog view, keyed by market with its parts dropped."""
+    view = readers.register_view(panels.order_measurements(spark, sf_dir), "raw_measurements")
+    return P.key_market(readers.read_table(spark, view))
+
+
+@register("parquet_source", RAW_A_SQL)
+def q_parquet_source(spark, sf_dir):
+    """Write the raw table in the default format, load it back, build the panel."""
+    path = scratch_path(spark, "raw-parquet")
+    panels.order_measurements(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return P.build_panel(readers.read_parquet(spark, path)).select("dt", "code", "Y")
+
+
 @register("filter_code", with_ctes({"panel": PANEL_A},
                                     f"SELECT code, dt, Y FROM panel WHERE code = '{FILTER_CODE}'"))
 def q_filter_code(spark, sf_dir):
@@ -139,6 +163,17 @@ def q_ffill_series(spark, sf_dir):
     return series.forward_fill(dense, "Y", out="Y_ffill")
 
 
+@register("ffill_series_balanced", with_ctes(_SPINE_SQL, """
+SELECT code, dt, Y,
+       last_value(Y IGNORE NULLS) OVER (PARTITION BY code ORDER BY dt
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS Y_ffill
+FROM f"""))
+def q_ffill_series_balanced(spark, sf_dir):
+    """The same fill by pieces of a series."""
+    dense = series.daily_spine(panels.panel_a(spark, sf_dir))
+    return series.forward_fill(dense, "Y", out="Y_ffill", strategy="balanced")
+
+
 @register("calendar_features", with_ctes({"panel": PANEL_A}, CAL_A))
 def q_calendar_features(spark, sf_dir):
     return calendar_panel(spark, sf_dir)
@@ -178,13 +213,7 @@ _RAW_LAG, _ = lag_select("cal", FEATURE_BASE, N_LAGS, order="dt, ok")
 def q_lag_frame_raw_balanced(spark, sf_dir):
     """Lag frame over un-aggregated order rows (ties ordered by order key),
     computed with the balanced strategy: no series is held by one task."""
-    orders = panels.table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    cust = broadcast_if_bounded(panels.customer_dim(spark, sf_dir))
-    raw = (orders.join(cust, orders.o_custkey == cust.c_custkey)
-           .select(F.concat("sites", "node_desc").alias("code"),
-                   F.col("o_orderdate").cast("date").alias("dt"),
-                   F.col("o_totalprice").alias("Y"), F.col("o_orderkey").alias("ok")))
+    raw = panels.raw_orders(spark, sf_dir)
     return lags.lag_frame(add_calendar_features(raw), N_LAGS, columns=FEATURE_BASE,
                           order=("dt", "ok"), strategy="balanced")
 
@@ -200,21 +229,31 @@ def q_short_series_filter(spark, sf_dir):
     return lags.lag_frame(cal, N_LAGS, columns=FEATURE_BASE)
 
 
-_GAP_CTE = dict(_SPINE_SQL)
-_GAP_CTE["s"] = f"SELECT code, dt, COALESCE(Y, {GAP_SENTINEL}) AS Y FROM f"
-_GAP_CTE["cal"] = calendar_select("s")
-_GAP_LAG, _ = lag_select("cal", FEATURE_BASE, N_LAGS)
-_GAP_CTE["lagged"] = _GAP_LAG
+@register("short_series_only", with_ctes({"panel": panels.PANEL_B_SQL}, """
+SELECT code, dt, Y FROM (SELECT *, count(*) OVER (PARTITION BY code) AS n FROM panel) WHERE n >= 12"""))
+def q_short_series_only(spark, sf_dir):
+    """The series of panel B with at least ten lags to spare, by a keyed aggregate."""
+    return lags.short_series_filter(panels.panel_b(spark, sf_dir), 10, strategy="balanced")
+
+
+_CODED_CTE = {
+    "panel": PANEL_A,
+    "s": f"SELECT code, dt, CASE WHEN day(dt) = {SENTINEL_DAY} THEN {SENTINEL} ELSE Y END AS Y FROM panel",
+    "cal": calendar_select("s"),
+}
+_CODED_LAG, _ = lag_select("cal", FEATURE_BASE, N_LAGS)
+_CODED_CTE["lagged"] = _CODED_LAG
 _OUTLIER_KEEP = " AND ".join(f"{c} >= -10000000.0" for c in LAG_NAMES)
 
 
-@register("outlier_filter", with_ctes(_GAP_CTE, f"""
+@register("outlier_filter", with_ctes(_CODED_CTE, f"""
 SELECT code, dt, Y_000_day_before AS Y, Y_001_day_before, Y_005_day_before, days2_005_day_before
 FROM lagged WHERE {_OUTLIER_KEEP}"""))
 def q_outlier_filter(spark, sf_dir):
-    """Daily grid with gap days coded as a sentinel; rows touching one are dropped."""
-    dense = series.daily_spine(panels.panel_a(spark, sf_dir))
-    coded = series.fill_sentinel(dense, "Y", GAP_SENTINEL)
+    """Some readings are coded as missing; lag rows that touch one are dropped."""
+    panel = panels.panel_a(spark, sf_dir)
+    coded = panel.withColumn("Y", F.when(F.dayofmonth("dt") == SENTINEL_DAY, F.lit(SENTINEL))
+                             .otherwise(F.col("Y")))
     framed = lags.lag_frame(add_calendar_features(coded), N_LAGS, columns=FEATURE_BASE)
     kept = lags.label_from_lag0(lags.drop_sentinels(framed))
     return kept.select("code", "dt", "Y", "Y_001_day_before", "Y_005_day_before",
@@ -281,7 +320,7 @@ SELECT code, ROUND(avg(abs((Y_001_day_before - Y) / nullif(Y, 0))), 9) AS mape,
        CAST(sum(CASE WHEN Y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero_truth
 FROM model GROUP BY code"""))
 def q_mape_by_code(spark, sf_dir):
-    frame = model_frame_a(spark, sf_dir).select(
+    frame = lags.label_from_lag0(lags.drop_sentinels(lag_frame_a(spark, sf_dir))).select(
         "code", "Y", F.col("Y_001_day_before").alias("prediction"))
     return metrics.mape(frame, by=["code"], decimals=9)
 
@@ -323,6 +362,13 @@ def q_range_scale_by_code(spark, sf_dir):
         "code", "dt", "Y", "xmin", "xmax", "Y_scaled")
 
 
+@register("range_scale_by_code_keyed", with_ctes(_RANGE_CTE, "SELECT * FROM sc"))
+def q_range_scale_by_code_keyed(spark, sf_dir):
+    """The same scaling from a keyed aggregate joined back (no per-series window)."""
+    return scale.range_scale_by_code(panels.panel_a(spark, sf_dir), strategy="balanced").select(
+        "code", "dt", "Y", "xmin", "xmax", "Y_scaled")
+
+
 @register("range_unscale_by_code", with_ctes(_RANGE_CTE, """
 SELECT code, dt, (xmax - xmin) * (pred - CAST(70 AS DOUBLE)) / CAST(2930 AS DOUBLE) + xmin
        AS unscale_pred

@@ -4,7 +4,7 @@ On a cluster the session is supplied by the caller; nothing here changes its
 configuration. Scratch output (CSV round trips, saved models, checkpoints)
 always goes under the folder named by ``spark.checkpoint.dir``, which a
 cluster points at shared storage. Only a local-mode session without that
-setting gets a private temporary folder, which is what tests use.
+setting gets a temporary folder of its own.
 """
 
 from __future__ import annotations
@@ -37,24 +37,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    Reads ``spark.checkpoint.dir`` (or the folder already set on the
-    SparkContext). If neither is set and the master is local, a private
-    temporary folder is created and registered; on a cluster an unset folder
-    is an error, because a machine-local path would not survive executor loss.
+    Reads the folder already set on the SparkContext, or ``spark.checkpoint.dir``.
+    Without either, a session in local mode gets a temporary folder; on a
+    cluster that is an error, because a machine-local path would not survive
+    the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at shared storage")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-ckpt-"))
-    return sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; point it at shared storage")
+        folder = tempfile.mkdtemp(prefix="panelcast-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,6 +7,7 @@ lazy; Catalyst prunes columns and pushes the not-null filters into the scan.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +27,22 @@ ORDINAL = "_ord"
 
 
 def with_input_ordinal(df: DataFrame, name: str = ORDINAL) -> DataFrame:
-    """Tag rows with their input position (ties on a date keep file order).
+    """Tag the rows of a file scan with their place in the input.
 
-    ``monotonically_increasing_id`` is partition index << 33 plus row position,
-    so on a fresh file scan it increases in file order without any shuffle.
+    Spark packs file splits into tasks by size, so a task number says nothing
+    about the order of files. The tag is (file, start of the split, row within
+    the task), which sorts by file name and then by place in the file, and does
+    not change when a task is run again. Anything but a fresh scan has no input
+    order and is refused: give such rows a tie-break column instead.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    try:
+        place = F.struct(F.col("_metadata.file_path").alias("file"),
+                         F.col("_metadata.file_block_start").alias("split"),
+                         F.monotonically_increasing_id().alias("row"))
+        return df.select("*", place.alias(name))
+    except AnalysisException as e:
+        raise ValueError("rows that do not come straight from files have no input order; "
+                         "pass a tie-break column") from e
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,

@@ -68,11 +68,25 @@ def test_lag_row_count_property(spark, lengths, n):
     assert lags.lag_frame(panel, n).count() == want
 
 
-def test_has_at_most(spark):
-    from panelcast.plans.joins import broadcast_if_bounded, has_at_most
-    small = spark.range(10)
-    assert has_at_most(small, 10) and not has_at_most(small, 9)
-    assert has_at_most(spark.range(10), 10)          # memoised, same plan
-    big = spark.range(0, 100000, 1, 16)
-    assert not has_at_most(big, 50)
-    assert broadcast_if_bounded(big, 50) is big
+def _jobs_started(spark, group, build):
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        build()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_building_a_query_runs_nothing_but_footers(spark):
+    from panelcast.plans.registry import queries
+    for name in ("lag_frame_backward", "label_within_30d", "topk_value", "zscore", "mape_by_code",
+                 "ratio_extrapolate", "clean_dropna", "panel_sql_view"):
+        # One job per table read, for the parquet footers.
+        assert _jobs_started(spark, f"build-{name}", lambda: queries()[name](spark, SF_SMALL)) <= 3, name
+
+
+def test_split_reads_the_written_model_frame(spark, capsys):
+    from panelcast.plans.registry import queries
+    queries()["time_split_train"](spark, SF_SMALL).explain()
+    assert "Window" not in capsys.readouterr().out

@@ -84,3 +84,29 @@ def test_time_folds(spark):
     assert out[dt.date(2020, 1, 1)] == 0 and out[dt.date(2020, 1, 30)] == 2
     assert [out[dt.date(2020, 1, 1) + dt.timedelta(days=i)] for i in range(30)] == \
         [0] * 10 + [1] * 10 + [2] * 10
+
+
+def test_patience_stops_a_planted_overfit(spark):
+    rnd = random.Random(7)
+    # The target is noise around one step: later trees fit the noise of the training rows.
+    rows = [("k", i, (10.0 if a > 5 else 0.0) + rnd.gauss(0, 4), a, rnd.uniform(0, 10))
+            for i, a in enumerate(rnd.uniform(0, 10) for _ in range(600))]
+    df = spark.createDataFrame(rows, "code string, dt int, Y double, a double, b double")
+    train, valid = df.where("dt < 300"), df.where("dt >= 300")
+    est = ml.gbt(max_iter=20, max_depth=6, step_size=0.5)
+    model, rounds, history = ml.fit_with_patience(train, ["a", "b"], est, {"train": train, "valid": valid}, "valid")
+    assert rounds < 10
+    booster, first = model.stages[-1], model.stages[0]
+    errors = {(r["set"], r["round"]): r["rmse"] for r in history.collect()}
+    assert len(errors) == 40
+    for i, e in enumerate(booster.evaluateEachIteration(first.transform(valid), "squared"), start=1):
+        assert errors["valid", i] == pytest.approx(e ** 0.5)
+    kept = ml.first_rounds(booster, first.transform(valid), rounds)
+    got = kept.selectExpr("sqrt(avg(pow(prediction - Y, 2)))").first()[0]
+    assert got == pytest.approx(errors["valid", rounds])
+
+
+def test_best_round():
+    assert ml.best_round([5, 4, 3, 3.5, 3.2, 3.1, 3.3, 3.4, 1.0], patience=5) == 3
+    assert ml.best_round([5, 4, 3, 3.5, 3.2, 2.0, 3.3], patience=5) == 6
+    assert ml.best_round([1.0], patience=5) == 1

@@ -216,21 +216,19 @@ def test_daily_spine_and_ffill(spark):
                    ("A", D0 + dt.timedelta(days=3), 4.0, 4.0), ("B", D0, 9.0, 9.0)]
 
 
-def test_top_k_cutoff_path_is_exact(spark):
+@pytest.mark.parametrize("k,buckets", [(300, 64), (300, 3), (1500, 5)])
+def test_top_k_is_exact(spark, k, buckets):
     import random
     from panelcast.operators.panel import top_k_rows
     rnd = random.Random(11)
     rows = [(rnd.choice("abc"), None if i % 997 == 0 else rnd.randint(0, 500) / 10.0, i)
             for i in range(20000)]
     df = spark.createDataFrame(rows, "m string, value double, i int").repartition(16)
-    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0], r[2]))[:300]
-    plain = top_k_rows(df, 300, ["value", "m", "i"])
-    forced = top_k_rows(df, 300, ["value", "m", "i"], merge_rows=0)
-    for got in (plain, forced):
-        assert [tuple(r) for r in got.collect()] == [(a, b, c) for a, b, c in want]
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0], r[2]))[:k]
+    assert [tuple(r) for r in top_k_rows(df, k, ["value", "m", "i"], buckets).collect()] == want
 
 
-def test_key_market_append_and_table_source(spark):
+def test_key_market_and_table_source(spark):
     from panelcast.operators.panel import key_market
     from panelcast.sources.readers import read_table, register_view
     raw = spark.createDataFrame([(131, "JC05", 1.0), (7, None, 2.0)],
@@ -240,11 +238,6 @@ def test_key_market_append_and_table_source(spark):
     assert keyed[0].asDict().keys() == {"v", "market"}
 
     hist = _series(spark, [1, 2])
-    fc = spark.createDataFrame([("A", D0 + dt.timedelta(days=5), 9.0, 1)],
-                               "code string, dt date, Y double, k int")
-    both = X.append_forecast(hist, fc).orderBy("dt").collect()
-    assert [r["Y"] for r in both] == [1.0, 2.0, 9.0] and both[0]["k"] is None
-
     name = register_view(hist, "hist_view_test")
     assert read_table(spark, name).count() == 2
 
@@ -271,15 +264,44 @@ def test_balanced_lag_frame_matches_window(spark, mode, drop_null):
     balanced = lags.lag_frame(df, 3, strategy="balanced", **kw)
     assert _frame_rows(window) == _frame_rows(balanced)
     assert window.columns == balanced.columns
-    auto = lags.lag_frame(df, 3, strategy="auto", **kw)
-    assert _frame_rows(auto) == _frame_rows(window)
 
 
-def test_series_positions(spark):
-    rows = [("a", i) for i in range(50)] + [("b", i) for i in range(7)]
+def test_strategies_keep_null_keys(spark):
+    rows = [(None if i % 2 else "a", i // 2, float(i)) for i in range(18)]
+    df = spark.createDataFrame(rows, "code string, dt int, Y double")
+    for fn in (lambda st: lags.lag_frame(df, 2, strategy=st),
+               lambda st: series.forward_fill(df, "Y", out="F", strategy=st),
+               lambda st: lags.short_series_filter(df, 2, strategy=st),
+               lambda st: scale.range_scale_by_code(df, strategy=st).select("code", "dt", "Y", "Y_scaled")):
+        got = [sorted(map(str, map(tuple, fn(st).collect()))) for st in ("window", "balanced")]
+        assert got[0] == got[1] and any("None" in r for r in got[0])
+    for fn in (lambda: lags.lag_frame(df, 2, strategy="auto"), lambda: X.scaled_series(df, strategy="auto"),
+               lambda: series.forward_fill(df, strategy="blocks"),
+               lambda: scale.range_scale_by_code(df, strategy="x"), lambda: lags.short_series_filter(df, strategy="")):
+        with pytest.raises(ValueError):
+            fn()
+
+
+@pytest.mark.parametrize("partitions", [1, 6, 40])
+@pytest.mark.parametrize("mode", ["backward", "forward"])
+def test_halo_crosses_pieces_shorter_than_it(spark, partitions, mode):
+    from panelcast.operators.slices import range_slices, series_positions, with_halo
+    rows = [("a", i) for i in range(50)] + [("b", i) for i in range(7)] + [(None, i) for i in range(9)]
     df = spark.createDataFrame(rows, "code string, dt int")
-    got = lags.series_positions(df, order=("dt",), partitions=6).collect()
-    assert all(r["_pos"] == r["dt"] + 1 for r in got)
+    got = series_positions(df, partitions=partitions, size="_rows").collect()
+    assert all(r["_pos"] == r["dt"] + 1 for r in got) and len(got) == len(rows)
+    assert {(r["code"], r["_rows"]) for r in got} == {("a", 50), ("b", 7), (None, 9)}
+    s = range_slices(df, partitions=partitions)
+    shift = F.lag if mode == "backward" else F.lead
+    step = 1 if mode == "backward" else -1
+    back = [shift("dt", i).over(s.window()).alias(f"l{i}") for i in range(1, 6)]
+    out = with_halo(s, 5, mode).select("code", "dt", "_halo", *back).where("not _halo").collect()
+    assert len(out) == len(rows)
+    size = {"a": 50, "b": 7, None: 9}
+    for r in out:
+        for i in range(1, 6):
+            want = r["dt"] - step * i
+            assert r[f"l{i}"] == (want if 0 <= want < size[r["code"]] else None)
 
 
 @pytest.mark.parametrize("n_hist,expected", [(2, 0), (3, 0), (4, 2), (6, 6), (9, 12)])
@@ -312,6 +334,7 @@ def _hot_panel(spark):
         for j in range(rnd.randint(1, 12)):
             rows.append((f"s{c}", D0 + dt.timedelta(days=j), float(rnd.randint(5, 500)), 10000 + 100 * c + j))
     rows += [("flat", D0 + dt.timedelta(days=j), 7.0, 20000 + j) for j in range(5)]
+    rows += [(None, D0 + dt.timedelta(days=j), float(rnd.randint(5, 500)), 30000 + j) for j in range(40)]
     return spark.createDataFrame(rows, "code string, dt date, Y double, o int")
 
 
@@ -331,16 +354,15 @@ def test_balanced_extrapolation_matches_window(spark, cyclic):
         assert d == d2 and math.isclose(v, v2, rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_running_total(spark):
-    rows = [("a", p, float(p)) for p in range(1, 26)] + [("b", 1, None), ("b", 2, 3.0)]
-    df = spark.createDataFrame(rows, "code string, _pos long, v double")
-    out = {(r["code"], r["_pos"]): r["t"] for r in
-           lags.running_total(df, F.col("v"), "t", block=4).collect()}
-    assert all(out[("a", p)] == p * (p + 1) / 2 for p in range(1, 26))
-    assert out[("b", 1)] == 0.0 and out[("b", 2)] == 3.0
+def test_forecast_keeps_the_sign_of_unscaled_values(spark):
+    panel = _series(spark, [4.0, 3.0, -2.0])
+    got = X.ratio_forecast(panel, scale=False).orderBy("k").collect()
+    assert [r["Y"] for r in got] == [pytest.approx(-2.0 * 0.75), pytest.approx(-2.0 * 0.75)]
+    zero = X.ratio_forecast(_series(spark, [4.0, 3.0, 0.0]), scale=False).collect()
+    assert [r["Y"] for r in zero] == [0.0, 0.0]
 
 
-def test_balanced_positional_mape_and_auto_state(spark):
+def test_balanced_positional_mape(spark):
     from panelcast.operators import forecast as FC
     panel = _hot_panel(spark).drop("o").dropDuplicates(["code", "dt"])
     feats = FC.forecast_features(panel, 5).withColumn("prediction", F.col("Y_001_day_before"))
@@ -349,8 +371,6 @@ def test_balanced_positional_mape_and_auto_state(spark):
          FC.positional_mape(feats, strategy="balanced").collect()}
     assert a.keys() == b.keys() and a
     assert all(a[k][1] == b[k][1] and math.isclose(a[k][0], b[k][0], rel_tol=1e-12) for k in a)
-    auto = X.scaled_series(panel, strategy="auto")
-    assert auto.count() == panel.count()
 
 
 def test_balanced_forward_fill(spark):
@@ -365,8 +385,56 @@ def test_balanced_forward_fill(spark):
     got = {(r["code"], r["dt"]): r["F"] for r in
            series.forward_fill(df, "Y", out="F", strategy="balanced").collect()}
     assert got == want
-    # Small blocks exercise the carry-in across blocks, including all-null blocks.
-    from panelcast.operators.lags import series_positions
-    small = {(r["code"], r["dt"]): r["F"] for r in series.running_last(
-        series_positions(df), "Y", "F", block=7).collect()}
-    assert small == want
+
+
+def test_bad_dates_raise_unless_asked_otherwise(spark):
+    from panelcast.functions.labels import label_rows
+    from panelcast.operators.panel import build_panel, clean_measurements, count_bad_dates
+    raw = spark.createDataFrame([("1/2/2020", "s", "n", 1.0), ("2020-13-45", "s", "n", 2.0), ("x", "s", "n", 3.0)],
+                                "time_key string, sites string, node_desc string, ds_load double")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            for fmt in ("M/d/yyyy", None):
+                with pytest.raises(Exception, match="not a date"):
+                    build_panel(raw, date_format=fmt).collect()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+    assert build_panel(raw, date_format="M/d/yyyy", on_bad_date="null").count() == 1
+    assert tuple(count_bad_dates(clean_measurements(raw), "M/d/yyyy").first()) == (3, 2)
+    rows = spark.createDataFrame([("a", "20200101")], "code string, dt string")
+    faults = spark.createDataFrame([("a", "2020/01/05")], "code string, fault_date string")
+    kw = {"dt_format": "yyyyMMdd", "fault_format": "yyyy-MM-dd"}
+    with pytest.raises(Exception, match="not a date"):
+        label_rows(rows, faults, **kw).collect()
+    assert label_rows(rows, faults, on_bad_date="null", **kw).first()["label"] == 0
+
+
+def test_input_ordinal_follows_the_files(spark, tmp_dir):
+    from panelcast.sources.readers import read_csv, with_input_ordinal
+    want = []
+    for name, n in (("a", 2), ("b", 9000), ("c", 300)):
+        lines = [f"1/1/2020,{name},{i},1.0" for i in range(n)]
+        want += [(name, str(i)) for i in range(n)]
+        with open(f"{tmp_dir}/{name}.csv", "w") as f:
+            f.write("time_key,sites,node_desc,ds_load\n" + "\n".join(lines) + "\n")
+    got = read_csv(spark, tmp_dir, ordinal=True).orderBy("_ord").select("sites", "node_desc").collect()
+    assert [tuple(r) for r in got] == want
+    with pytest.raises(ValueError, match="tie-break"):
+        with_input_ordinal(spark.range(3))
+
+
+@pytest.mark.parametrize("strategy", ["window", "balanced"])
+def test_forecast_sink_writes_one_file_per_series(spark, tmp_dir, strategy):
+    import glob
+    from pyspark.ml.feature import SQLTransformer
+    from panelcast.operators import forecast as FC
+    from panelcast.sources.sinks import read_forecast_csv, write_forecast_csv
+    naive = SQLTransformer(statement="SELECT *, Y_001_day_before AS prediction FROM __THIS__")
+    forecast = FC.panel_forecast(_hot_panel(spark), naive, horizon=30, strategy=strategy, order=("dt", "o"))
+    path = write_forecast_csv(forecast, f"{tmp_dir}/{strategy}")
+    codes = [r[0] for r in forecast.select("code").distinct().collect()]
+    assert len(glob.glob(f"{path}/code=*/*.csv")) == len(codes)
+    assert read_forecast_csv(spark, path).count() == forecast.count()
+    split = write_forecast_csv(forecast, f"{tmp_dir}/{strategy}-3", pieces=3)
+    assert read_forecast_csv(spark, split).count() == forecast.count()
