@@ -297,7 +297,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     roots = clusters.select("root").distinct().select(F.col("root").alias("node"), "root")
     members = clusters.unionByName(roots).select(F.col("node").alias("key"), F.col("root").alias("grp"))
     units = materialize(work_units(members).join(sketches, "key"), "near-units")
-    # The written units have a known size: Spark broadcasts them if small, else builds hash tables of them.
+    # Texts are dealt out by id and meet hash tables of the narrow units; they are not sorted.
     links = forests(plain.join(units.hint("shuffle_hash"), "key"), THRESHOLD)
     joined = components(links, "near-class").select(F.col("node").alias("rep"), F.col("root"))
     of_copy = (reps.select("copy", F.col("key").alias("rep")).join(joined, "rep", "left")
@@ -315,12 +315,12 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class, columns unchanged; of rows that share an id, one."""
-    found = materialize(classes(docs), "near-classes")
-    (key,) = fresh(docs, "near_key")
-    gone = found.where("key <> class").select(F.col("key").alias(key)).distinct()
-    again = (found.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .select(F.col("key").alias(key)))
-    left = docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
-    single = left.join(again, left["doc_id"] == again[key], "left_anti")
-    repeated = left.join(again, left["doc_id"] == again[key], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    key, gone, times = fresh(docs, "near_key", "near_gone", "near_times")
+    marks = classes(docs).where("key is not null").groupBy(F.col("key").alias(key)).agg(
+        F.max(F.col("key") != F.col("class")).alias(gone), F.count(F.lit(1)).alias(times))
+    marks = materialize(marks.where(F.col(gone) | (F.col(times) > 1)), "near-marks")
+    # Texts are dealt out once, by id, the same way at every size.
+    left = docs.join(marks.hint("shuffle_hash"), docs["doc_id"] == marks[key], "left")
+    single = left.where(F.col(key).isNull())
+    repeated = left.where(~F.col(gone)).dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

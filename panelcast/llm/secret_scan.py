@@ -98,12 +98,15 @@ def scan(versions: DataFrame, ledger_path: str, key: str = "doc_id", text: str =
     """
     spark = versions.sparkSession
     addressed = address(versions, key, text)
-    todo = materialize(unseen(addressed, read_ledger(spark, ledger_path), version), "blob-todo")
+    ledger = read_ledger(spark, ledger_path)
+    todo = materialize(unseen(addressed, ledger, version), "blob-todo")
+    # A first scan takes nearly all texts: hash tables of the narrow list, texts unsorted. Later
+    # lists are as small as what is new, and Spark may broadcast them by their written size.
+    listed = todo.hint("shuffle_hash") if ledger is None else todo
     texts = versions.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"),
                             _blob(text).alias("blob"))
-    # A written todo list has a known size: Spark broadcasts it if small, else builds hash tables of it.
     picked = texts.alias("t").join(
-        todo.hint("shuffle_hash").alias("r"),
+        listed.alias("r"),
         (F.col("t.blob") == F.col("r.blob")) & F.col("t.key").eqNullSafe(F.col("r.key")), "left_semi")
     found = picked.select("t.blob", "t.text").mapInPandas(_scan, f"blob binary, spans {SPANS}")
     # Rows that repeat a key and its text were both picked; one entry per blob is written.
