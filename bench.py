@@ -12,12 +12,15 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "panel_sum",
+    "csv_source",
+    "topk_value",
     "calendar_features",
     "lag_frame_backward",
     "lag_frame_raw_balanced",
@@ -31,10 +34,12 @@ HEADLINE = [
     "step_ratio_smoothed",
     "ratio_extrapolate",
     "ratio_extrapolate_cyclic",
+    "ratio_extrapolate_raw_balanced",
     "history_plus_forecast_features",
     "mape_by_code_positional",
     "gbt_fit_predict",
     "forecast_all_codes",
+    "forecast_csv_sink",
 ]
 
 
@@ -47,6 +52,8 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
                           app_name="panelcast-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-bench-"))
     q = queries()
 
     def run(name: str) -> float:

@@ -10,6 +10,7 @@ from panelcast.operators import lags, split
 from panelcast.operators.panel import build_panel
 from panelcast.sources.readers import ORDINAL, RAW_DATE_FORMAT, read_csv
 
+# The published 32-row sample.
 SAMPLE = """﻿time_key,sites,node_desc,ds_load
 2/4/2018,131,JC05,100.0008571
 2/11/2018,131,JC05,90.60925246
@@ -19,11 +20,31 @@ SAMPLE = """﻿time_key,sites,node_desc,ds_load
 4/15/2018,131,JC05,105.2282631
 4/29/2018,131,JC05,111.2163436
 5/6/2018,131,AZADA,122.0000749
-""" + "".join(
-    f"2/4/2018,{site},{node},{v}\n"
-    for site, node in (("477", "AZADA"), ("333", "LOL"), ("343", "TEST"))
-    for v in ("100.0008571", "90.60925246", "105.5016373", "118.6052447",
-              "96.959175", "105.2282631", "111.2163436", "122.0000749"))
+2/4/2018,477,AZADA,100.0008571
+2/4/2018,477,AZADA,90.60925246
+2/4/2018,477,AZADA,105.5016373
+2/4/2018,477,AZADA,118.6052447
+2/4/2018,477,AZADA,96.959175
+2/4/2018,477,AZADA,105.2282631
+2/4/2018,477,AZADA,111.2163436
+2/4/2018,477,AZADA,122.0000749
+2/4/2018,333,LOL,100.0008571
+2/4/2018,333,LOL,90.60925246
+2/4/2018,333,LOL,105.5016373
+2/4/2018,333,LOL,118.6052447
+2/4/2018,333,LOL,96.959175
+2/4/2018,333,LOL,105.2282631
+2/4/2018,333,LOL,111.2163436
+2/4/2018,333,LOL,122.0000749
+2/4/2018,343,TEST,100.0008571
+2/4/2018,343,TEST,90.60925246
+2/4/2018,343,TEST,105.5016373
+2/4/2018,343,TEST,118.6052447
+2/4/2018,343,TEST,96.959175
+2/4/2018,343,TEST,105.2282631
+2/4/2018,343,TEST,111.2163436
+2/4/2018,343,TEST,122.0000749
+"""
 
 
 def _panel(spark, tmp_dir):
