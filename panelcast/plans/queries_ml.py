@@ -22,7 +22,7 @@ from panelcast.operators import metrics, ml
 from panelcast.operators.split import mark_split
 from panelcast.plans import panels
 from panelcast.plans.oracle_sql import with_ctes
-from panelcast.plans.queries_forecast import _COMB, _W, LOG_DECIMALS
+from panelcast.plans.queries_forecast import _COMB, _CYC, _W, LOG_DECIMALS
 from panelcast.plans.queries_panel import _MODEL_COLS, _SPLIT_CTE, model_frame_a
 from panelcast.plans.registry import register
 from panelcast.session import materialize, scratch_path
@@ -287,6 +287,20 @@ def q_forecast_unscaled_features(spark, sf_dir):
     return _logged(_forecast(spark, sf_dir, scale_for_model=False))
 
 
+_CYCLIC = dict(_CYC)
+_CYCLIC["comb"] = ("SELECT code, dt, Y FROM st UNION ALL "
+                   "SELECT code, CAST(last_dt + CAST(m + q * n AS INTEGER) AS DATE) AS dt, "
+                   "exp(ln(last_y) + q * ln_cycle + ln_prefix) AS Y FROM ex")
+_CYCLIC |= {k: _FORECAST[k] for k in ("cal", "lagged", "ends", "scored")}
+
+
+@register("forecast_cyclic", with_ctes(
+    _CYCLIC, f"SELECT code, dt, {signed_log('unscale_pred')} AS log_pred FROM scored"))
+def q_forecast_cyclic(spark, sf_dir):
+    """The forecast over the whole horizon, growth ratios repeated in cycles."""
+    return _logged(_forecast(spark, sf_dir, cyclic=True))
+
+
 @register("forecast_csv_sink", FORECAST_SQL)
 def q_forecast_csv_sink(spark, sf_dir):
     """Forecast written as one CSV file per series, read back."""
