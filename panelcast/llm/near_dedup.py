@@ -11,7 +11,8 @@ similarity. Cells are opened by rising rank only until every coordinate has a
 dart, so a text costs about ``max(shingles, K ln K)`` darts, not
 ``shingles * K``.
 
-Classes. Equal texts are one class from the start and go on as one row. The
+Classes. Equal texts are one class from the start and go on as one row with a
+number of its own, whatever ids they have (the numbers are written once). The
 signature is cut into bands; texts that agree in a band share a bucket. In a
 bucket, pairs whose whole signatures agree in ``LIKELY`` of the coordinates
 or more join into clusters (texts that only share a passage fall apart here);
@@ -19,7 +20,9 @@ a cluster's texts are then brought together once and likely pairs are
 checked on the exact shingle sets, unless the two are linked already. Both
 steps return links of a spanning forest, never all pairs, and a bucket or cluster
 larger than ``BLOCK`` is dealt into blocks, whose pairs of blocks are tasks
-of their own; the links of all tasks are then joined into classes.
+of their own; the links of all tasks are then joined into classes. Ids come in
+at the end only: a class is named by its smallest id, and the document of that
+id stays (of two texts with that id, the one with the smaller SHA-256).
 
 With 32 bands of 6 rows a pair of similarity 0.8 shares a bucket with
 probability 0.9999, and ``LIKELY`` is more than four standard deviations of
@@ -28,9 +31,11 @@ the estimate below 0.8; the exact check keeps pairs of 0.8 or more only.
 Defined cases: words are compared in lower case, split at white space; texts
 of one to four words have their whole word list as one shingle; null, empty
 and wordless texts are classes of their own; repeated rows (same id, same
-text) fall into one class; rows that share an id but not the text count as one
-document; null ids are carried along as rows of their own
-class; an empty table gives an empty result; extra columns are ignored.
+text) are one document; rows that share an id but not the text are documents
+of their own, each judged by its own text; rows with a null id take part like
+others, come after all ids, and a class without any id has a null name (two
+rows with a null id and the same words are one document); an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,6 +133,11 @@ def bands_of(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def copy_of(text: str) -> Column:
+    """The SHA-256 that names an exact text."""
+    return F.unhex(F.sha2(text_of(text).cast("binary"), 256))
+
+
 def word_hashes(text: str) -> Column:
     """Array of the words' 64-bit hashes, made by Spark."""
     return F.transform(words_of(F.lower(text_of(text))), lambda w: F.xxhash64(w))
@@ -156,14 +166,12 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text", by_count: b
             yield pd.DataFrame({"key": b["key"].astype("Int64"), "copy": b["copy"],
                                 "worded": [x is not None for x in bands], "bands": bands, "sketch": sketch})
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"),
-                       F.unhex(F.sha2(text_of(text).cast("binary"), 256)).alias("copy"),
-                       word_hashes(text).alias("words"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), copy_of(text).alias("copy"), word_hashes(text).alias("words"))
     return rows.mapInPandas(run, "key long, copy binary, worded boolean, bands array<long>, sketch binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) of the graph of ``edges`` (a, b); root is the smallest id joined.
+    """(node, root) of the graph of ``edges`` (a, b); root is the smallest node joined.
 
     Rounds of large-star and small-star: each node hangs its larger neighbours,
     then its smaller ones, on its smallest neighbour, until nothing changes. Every
@@ -283,44 +291,57 @@ def forests(rows: DataFrame, threshold: float | None = None) -> DataFrame:
     return dealt.select(*names, *([word_hashes("text").alias("words")] if exact else [])).mapInPandas(run, "a long, b long")
 
 
+def with_roots(joined: DataFrame) -> DataFrame:
+    """``joined`` (node, root) and a row for each root itself."""
+    return joined.unionByName(joined.select("root").distinct().select(F.col("root").alias("node"), "root"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class): the smallest id of each document's class of near duplicates."""
+    """(key, copy, worded, class, kept): per row, the smallest id of its class of near
+    duplicates and whether its document is the one that stays."""
     plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     sig = materialize(signed(plain, "key"), "near-signed")
-    # Rows with words and an id; equal texts become one row (combined before the shuffle).
-    reps = materialize(sig.where("key is not null and worded").groupBy("copy")
-                       .agg(F.min(F.struct("key", "bands", "sketch")).alias("m"))
-                       .select("copy", "m.key", "m.bands", "m.sketch"), "near-reps")
-    sketches = reps.select("key", "sketch")
-    likely = forests(work_units(in_buckets(reps)).join(sketches, "key"))
-    clusters = components(likely, "near-cluster")
-    roots = clusters.select("root").distinct().select(F.col("root").alias("node"), "root")
-    members = clusters.unionByName(roots).select(F.col("node").alias("key"), F.col("root").alias("grp"))
-    units = materialize(work_units(members).join(sketches, "key"), "near-units")
-    # Texts are dealt out by id and meet hash tables of the narrow units; they are not sorted.
-    links = forests(plain.join(units.hint("shuffle_hash"), "key"), THRESHOLD)
-    joined = components(links, "near-class").select(F.col("node").alias("rep"), F.col("root"))
-    of_copy = (reps.select("copy", F.col("key").alias("rep")).join(joined, "rep", "left")
-               .select("copy", F.coalesce("root", "rep").alias("class")))
-    return (sig.select("key", "copy", "worded").join(of_copy, "copy", "left")
-            .select("key", F.when(F.col("worded") & F.col("key").isNotNull(), F.col("class"))
-                    .otherwise(F.col("key")).alias("class")))
+    # Equal texts with words become one row (combined before the shuffle), numbered and written once.
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "bands", "sketch")  # null ids last
+    reps = materialize(sig.where("worded").groupBy("copy").agg(F.min(first).alias("m"))
+                       .select(F.monotonically_increasing_id().alias("node"), "copy", F.col("m.key").alias("low"),
+                               "m.bands", "m.sketch"), "near-reps")
+    nodes = reps.withColumnRenamed("node", "key")
+    sketches = nodes.select("key", "sketch")
+    likely = forests(work_units(in_buckets(nodes)).join(sketches, "key"))
+    members = with_roots(components(likely, "near-cluster")).select(F.col("node").alias("key"), F.col("root").alias("grp"))
+    units = materialize(work_units(members).join(nodes.select("key", "copy", "low", "sketch"), "key"), "near-units")
+    # Texts are dealt out by copy and id and meet hash tables of the narrow units; they are not sorted.
+    texts = plain.select(F.col("key").alias("id"), "text", copy_of("text").alias("own_copy"))
+    dealt = texts.join(units.hint("shuffle_hash"), (F.col("own_copy") == F.col("copy")) & F.col("id").eqNullSafe(F.col("low")))
+    joined = with_roots(components(forests(dealt, THRESHOLD), "near-class"))
+    # The document that stays, per class of two texts or more; other texts stay for themselves.
+    stays = reps.select("node", "low", "copy").join(joined, "node").groupBy("root").agg(
+        F.min(F.struct(F.col("low").isNull().alias("none"), "low", "copy")).alias("stays"))
+    of_node = joined.join(stays, "root").select("node", "stays")
+    alone = F.col("stays").isNull()
+    of_copy = reps.select("node", "copy", "low").join(of_node, "node", "left").select(
+        "copy", F.when(alone, F.col("low")).otherwise(F.col("stays.low")).alias("class"),
+        (alone | (F.col("copy") == F.col("stays.copy"))).alias("first"))
+    rows = sig.select("key", "copy", "worded").join(of_copy, "copy", "left")
+    return rows.select("key", "copy", "worded", F.when(F.col("worded"), F.col("class")).otherwise(F.col("key")).alias("class"),
+                       (~F.col("worded") | (F.col("first") & F.col("key").eqNullSafe(F.col("class")))).alias("kept"))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document: its class (smallest id in it) and whether it is the one that stays."""
-    return classes(docs).select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"),
-                                F.coalesce(F.col("key") == F.col("class"), F.lit(True)).alias("kept"))
+    return classes(docs).select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"), "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, columns unchanged; of rows that share an id, one."""
-    key, gone, times = fresh(docs, "near_key", "near_gone", "near_times")
-    marks = classes(docs).where("key is not null").groupBy(F.col("key").alias(key)).agg(
-        F.max(F.col("key") != F.col("class")).alias(gone), F.count(F.lit(1)).alias(times))
+    """One document of each class, columns unchanged; of rows that share id and text, one."""
+    key, copy, own, gone, times = fresh(docs, "near_key", "near_copy", "near_own", "near_gone", "near_times")
+    marks = classes(docs).where("worded or key is not null").groupBy(F.col("key").alias(key), F.col("copy").alias(copy)).agg(
+        F.max(~F.col("kept")).alias(gone), F.count(F.lit(1)).alias(times))
     marks = materialize(marks.where(F.col(gone) | (F.col(times) > 1)), "near-marks")
-    # Texts are dealt out once, by id, the same way at every size.
-    left = docs.join(marks.hint("shuffle_hash"), docs["doc_id"] == marks[key], "left")
-    single = left.where(F.col(key).isNull())
-    repeated = left.where(~F.col(gone)).dropDuplicates(["doc_id"])
+    # Texts are dealt out once, by id and copy, the same way at every size.
+    left = docs.withColumn(own, copy_of("text")).join(
+        marks.hint("shuffle_hash"), (F.col(own) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    single = left.where(F.col(copy).isNull())
+    repeated = left.where(~F.col(gone)).dropDuplicates(["doc_id", own])
     return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -147,6 +147,28 @@ def test_near_duplicates_of_edge_cases(spark, edge, empty):
     assert near_dedup.query(spark, empty).collect() == []
 
 
+def test_documents_are_told_apart_by_text_not_by_id(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    near_a, near_d = (" ".join([*x.split()[:-1], "other"]) for x in (a, d))
+    rows = [(1, a), (7, near_a), (7, b), (7, b), (8, c), (8, d), (9, near_d), (None, e), (None, e), (None, b), (None, ""),
+            (None, None), (3, ""), (3, ""), (3, "one word")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.class_id, r.kept) for r in near_dedup.query(spark, docs).collect()}
+    assert got == {(1, 1, True), (7, 1, False), (7, 7, True), (8, 8, True), (9, 8, False), (None, None, True),
+                   (None, 7, False), (3, 3, True)}
+    left = collections.Counter((r.doc_id, r.text) for r in near_dedup.deduplicated(docs).collect())
+    assert left == collections.Counter([(1, a), (7, b), (8, c), (8, d), (None, e), (None, ""), (None, None), (3, ""),
+                                        (3, "one word")])
+
+
+def test_near_copies_with_one_id_leave_one_document(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i // 5, " ".join(base[:i] + [f"x{i}"] + base[i + 1:])) for i in range(20)]
+    left = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in left] == [0] and left[0].text in {t for _, t in rows}
+
+
 # --- secrets ---------------------------------------------------------------
 
 def base_spans(text):
