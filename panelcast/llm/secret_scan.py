@@ -13,7 +13,10 @@ texts meet the Python scanner, dealt out by their own keys. A later run over
 mostly known versions moves only the new texts.
 
 Spans are code point offsets, end exclusive. The base kinds are ``assign``,
-``access`` and ``hex``; the rules here add well-known token formats.
+``access`` and ``hex``; the rules here add well-known token formats. A private
+key's span runs from its BEGIN line through the key to the END line of the same
+label; where another BEGIN or END or the text's end comes first, it ends with
+the last line of the key (base64 and the headers before it).
 
 Defined cases: null texts are read as empty (no findings, one shared blob);
 null and repeated keys are kept, each row gets the findings of its own text;
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import fresh, text_of
 from panelcast.session import materialize, scratch_path
 
-RULES_VERSION = "r1"
+RULES_VERSION = "r2"
 BASE_KINDS = ("assign", "access", "hex")
 
 # The base patterns (shorter matches are dropped after matching).
@@ -43,9 +46,17 @@ ASSIGN_MIN = 12
 # A maximal run that is long enough is the same as a match with that minimum.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+# What follows the BEGIN line of a key without its END: headers, then pieces of
+# 16 letters or more in any layout (quoted, escaped, on one line), or whole lines next to them.
+_GAP = r"""(?:[\s"'`,;>#|*+]|\\[nrt])*+"""
+_KEY_LINES = (rf"""(?:{_GAP}[A-Z][A-Za-z0-9]*-[A-Za-z0-9-]+:[^\n\\]*+)*+"""
+              rf"""(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+"""
+              r"""|[ \t"']*+(?:\r?\n|\\r\\n|\\n)[ \t>#"']*+[A-Za-z0-9+/=]++(?=[ \t\r"',;]*(?:\n|\\|\Z)))*+""")
 # Public token formats that the ledger's rules add.
 ADDED = {
-    "private_key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "private_key": re.compile(
+        r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"
+        rf"(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END \1-----|{_KEY_LINES})"),
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "google": re.compile(r"AIza[A-Za-z0-9_-]{35}"),
