@@ -1,6 +1,8 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word of a text gets a posterior over the learned languages by
+Every run of letters is a word; a run of more than ``WIDTH`` letters (text without
+spaces) is split into consecutive words of at most ``WIDTH``, in training as in
+scoring, so that every letter takes part. Every word of a text gets a posterior over the learned languages by
 forward-backward; a text's language is the one with the largest posterior sum
 over all its words, and the score is its share. Emissions are sums of learned
 weights of hashed affixes (1 to 4 letters), letter n-grams (2 and 3) and
@@ -53,6 +55,7 @@ UNKNOWN = "und"
 
 LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
+PIECE = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
 
 
 @dataclass
@@ -75,13 +78,18 @@ def letters_of(chunk: str) -> str:
     return "".join(WORD.findall(chunk)).lower()
 
 
+def pieces_of(text: str) -> list[str]:
+    """The words of the chain: runs of letters, in lower case, in pieces of at most ``WIDTH``."""
+    return PIECE.findall(text.lower())
+
+
 def features(words: list[str], lexicon: dict[str, list[int]], langs: int) -> np.ndarray:
     """Rows of ``emit`` that are active for each word (padded)."""
     pad = BUCKETS
-    short = [w if len(w) <= WIDTH else w[:WIDTH // 2] + w[-WIDTH // 2:] for w in words]
-    n = len(short)
-    codes = np.array(short, dtype=f"<U{WIDTH}").view(np.uint32).reshape(n, WIDTH).astype(np.uint64)
-    length = np.array([len(w) for w in short])
+    n = len(words)
+    length = np.array([len(w) for w in words])
+    width = max(WIDTH, length.max(initial=0))
+    codes = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(n, width).astype(np.uint64)
     out = []
 
     def add(kind: int, at: np.ndarray, size: int) -> None:
@@ -90,7 +98,7 @@ def features(words: list[str], lexicon: dict[str, list[int]], langs: int) -> np.
         h = np.full(at.shape, kind * 1_000_003, np.uint64)
         rows = np.arange(n)[:, None]
         for k in range(size):
-            h = (h ^ codes[rows, np.clip(at + k, 0, WIDTH - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ codes[rows, np.clip(at + k, 0, width - 1)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         out.append(np.where(ok, (h % np.uint64(BUCKETS)).astype(np.int64), pad))
 
@@ -98,7 +106,7 @@ def features(words: list[str], lexicon: dict[str, list[int]], langs: int) -> np.
         add(size, np.zeros((n, 1), np.int64), size)
         add(10 + size, (length - size)[:, None], size)
     for size in (2, 3):
-        add(20 + size, np.broadcast_to(np.arange(WIDTH - size + 1), (n, WIDTH - size + 1)), size)
+        add(20 + size, np.broadcast_to(np.arange(width - size + 1), (n, width - size + 1)), size)
     known = np.full((n, langs), pad, np.int64)
     for i, w in enumerate(words):
         for lang in lexicon.get(w, ()):
@@ -229,7 +237,8 @@ def learn_lexicon(sample: DataFrame, langs: list[str]) -> dict[str, list[int]]:
     """The most frequent words of each language in the sample (``LEXICON`` each)."""
     from pyspark.sql import Window
 
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    words = sample.select("lang", F.explode(
+        F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{WIDTH}}}"), F.lit(0))).alias("w"))
     counts = words.groupBy("lang", "w").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))
     top = counts.withColumn("r", rank).where(F.col("r") <= LEXICON).collect()  # bounded by the parameter
@@ -246,8 +255,7 @@ def _trainer(field: Field, step: int):
         seen: dict[str, int] = {}
         segments = []
         for lang, body in sorted(zip(share["lang"], share["text"])):
-            words = [w for w in map(letters_of, body.split()) if w]
-            ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
+            ids = np.array([seen.setdefault(w, len(seen)) for w in pieces_of(body)], np.int64)
             segments += [(ids[i:i + SEGMENT], field.langs.index(lang)) for i in range(0, len(ids), SEGMENT)]
         if segments:
             _epochs(own, segments, features(list(seen), field.lexicon, len(field.langs)), step)
@@ -281,22 +289,21 @@ def fit(docs: DataFrame, known: Column, key: str = "doc_id", text: str = "text",
 
 
 class Emissions:
-    """Emission rows of the words that a worker has met, by chunk; row 0 is no word."""
+    """Emission rows of the words that a worker has met."""
 
     def __init__(self, field: Field):
         self.field, self.row = field, {}
-        self.table = np.ones((1, len(field.langs)), np.float32)
+        self.table = np.ones((0, len(field.langs)), np.float32)
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [x for x in chunks if x not in self.row]
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The rows of ``table`` of the (distinct) words."""
+        new = [w for w in words if w not in self.row]
         if len(self.row) + len(new) > CACHE:
-            new, self.row, self.table = list(chunks), {}, self.table[:1]
-        words: dict[str, int] = {}
-        for chunk in new:
-            w = letters_of(chunk)
-            self.row[chunk] = len(self.table) + words.setdefault(w, len(words)) if w else 0
-        parts = [emissions(self.field, list(words)[i:i + 50_000]) for i in range(0, len(words), 50_000)]
+            new, self.row, self.table = words, {}, self.table[:0]
+        self.row.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+        parts = [emissions(self.field, new[i:i + 50_000]) for i in range(0, len(new), 50_000)]
         self.table = np.concatenate([self.table, *parts])
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
 
 def predict(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,16 +322,16 @@ def predict(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str
             while order:
                 # Texts of like length, some CHAIN_WORDS words at once.
                 held, ids, n = [], [], 0
+                seen: dict[str, int] = {}
                 while order and n < CHAIN_WORDS:
                     held.append(order.pop())
-                    n += len(texts[held[-1]]) // 4
-                chunks: set[str] = set()
-                for i in held:
-                    chunks.update(texts[i].split())
-                known.learn(chunks)
-                for i in held:
-                    x = np.fromiter(map(known.row.__getitem__, texts[i].split()), np.int64)
-                    ids.append(x[x > 0])
+                    words = pieces_of(texts[held[-1]])
+                    for w in words:
+                        seen.setdefault(w, len(seen))
+                    ids.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+                    n += len(words)
+                rows_of = known.learn(list(seen))
+                ids = [rows_of[x] for x in ids]
                 sums = text_posteriors(ids, known.table, move, start)
                 best = sums.argmax(axis=1)
                 pred[held] = np.array(field.langs, object)[best]

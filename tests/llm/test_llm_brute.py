@@ -404,6 +404,24 @@ def test_code_switched_words_are_told_apart(spark):
     assert tags[:half - 10].count("en") > 0.9 * (half - 10) and tags[half + 10:].count("de") > 0.9 * (half - 10)
 
 
+def test_every_letter_of_text_without_spaces_takes_part(spark):
+    docs = table(spark, SF_MID, "documents")
+    by = {r.lang: language_id.WORD.findall(r.text) for r in docs.where("lang in ('en', 'de')").groupBy("lang").agg(
+        F.max_by("text", F.length("text")).alias("text")).collect()}
+    en, de = by["en"][:300], by["de"][:300]
+    rows = [(i, glue.join(x)) for i, (glue, x) in enumerate(
+        (g, x) for g in (" ", "", "_", "9", ",") for x in (en, de, en[:20] + de + en[-20:], de[:20] + en + de[-20:]))]
+    field = language_id.fit(docs, F.lit(True))
+    got = {r.key: r.lang_pred for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert [got[i] for i in range(len(rows))] == ["en", "de", "de", "en"] * 5
+    run = "".join(en + de)
+    pieces = language_id.pieces_of(run)
+    assert "".join(pieces) == run.lower() and max(map(len, pieces)) == language_id.WIDTH
+    assert language_id.pieces_of("Ab_c9d, e\n" + "x" * 50) == ["ab", "c", "d", "e", "x" * 24, "x" * 24, "xx"]
+    long = ["a" * 12 + x * 30 + "b" * 12 for x in "cd"]
+    assert (np.diff(language_id.features(long, {}, 2), axis=0) != 0).any()
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = table(spark, SF_MID, "documents"), table(spark, SF_MID, "labels")
     got = quality_model.query(spark, docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
