@@ -1,19 +1,20 @@
-"""Exact top-k inner products by best-first search in a paged metric tree.
+"""Exact top-k inner products from a one-level metric index of paged distance rings.
 
 Vectors are quantised to integers, and each is lifted by one coordinate so that all
 have the same length; a query is lifted by 0. Then a larger inner product is
 a smaller Euclidean distance, and the triangle inequality holds.
 
-Tree. Routing objects (at most ``MAX_ROUTES`` vectors, drawn by hash) own the
+Index. One level, no nested nodes. Routing objects (at most ``MAX_ROUTES`` vectors, drawn by hash) own the
 vectors nearest to them. Each owner's vectors are paged by their stored parent
 distance: a node is a ring of distances, dealt into pages of about ``PAGE``
 entries where a ring is crowded (a vector repeated in a third of all rows
-fills many pages, never one task). Nodes keep their covering radii, entries
-their parent distance, sorted. The index is written.
+fills many pages, never one task; pages of one ring share about the same
+bounds). Nodes keep their nearest and farthest distance, entries their parent
+distance, sorted. The index is written.
 
-Search. A query visits nodes in the order of their lower bound: first those of its
-nearest routing object, then the most promising others, then all that the
-bound found so far cannot exclude. Within a page only entries whose stored
+Search. Three fixed rounds, with one bound for each round: a query visits the
+nodes of its nearest routing object, then of the next 6, then of all others;
+nodes that the bound found so far excludes are left out. Within a page only entries whose stored
 parent distance lies within the bound of the query's own distance to the
 parent are compared. The routing objects are the only thing sent to all
 tasks; their number is bounded by the parameter.
