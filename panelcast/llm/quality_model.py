@@ -12,6 +12,9 @@ Labels are learned from at most about ``MAX_TRAIN`` labelled rows (chosen by a
 hash of the id); this is the only bound, and every document is scored. Scores
 never use the label, language, source or id of a document.
 
+With fewer than ``20 * CALIBRATE`` (80) labelled rows to learn from, all of them
+both fit and calibrate, so these scores are calibrated in sample.
+
 Defined cases: null and empty texts have all statistics 0 and a score like
 any other; without labelled rows every score is 0.5; null labels are not
 learned from, repeated labels each count; repeated rows and null ids are rows of
