@@ -42,3 +42,21 @@ def pinned(column: Column) -> Column:
     Projections that are marked as depending on the partition are not crossed.
     """
     return F.when(F.spark_partition_id() >= 0, column)
+
+
+#: Keys that hold more than this share of the rows are joined by broadcast; there are at most as many.
+HEAVY = 4096
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``keyed`` (one row per key) that no common key skews.
+
+    ``weight`` says how many rows have a key, of ``total`` in all. Keys that hold
+    at least 1/``HEAVY`` of them are at most ``HEAVY`` and are broadcast; the
+    rows of the others are shuffled, and no such key weighs on a task.
+    """
+    heavy = F.col(weight) * F.lit(HEAVY) >= F.lit(total)
+    few, many = keyed.where(heavy), keyed.where(~heavy)
+    near = rows.join(F.broadcast(few), on)
+    far = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(many.hint("shuffle_hash"), on)
+    return near.unionByName(far)

@@ -7,7 +7,8 @@ module adds them when this package is present.
 from __future__ import annotations
 
 from panelcast.llm import (
-    language_id, license_scan, metric_tree, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan, warc,
+    language_id, license_scan, metric_tree, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan,
+    token_align, warc,
 )
 from panelcast.llm.common import table
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_secret_scans": lambda spark, sf: secret_scan.query(spark, table(spark, sf, "documents")),
     "op9_mixing": lambda spark, sf: mixing.query(spark, table(spark, sf, "documents")),
     "op10_packing": lambda spark, sf: packing.query(spark, table(spark, sf, "documents")),
+    "op11_token_alignment": lambda spark, sf: token_align.query(spark, table(spark, sf, "documents")),
 }
 
 ORACLES = {
