@@ -7,8 +7,8 @@ module adds them when this package is present.
 from __future__ import annotations
 
 from panelcast.llm import (
-    language_id, license_scan, metric_tree, mixing, near_dedup, packing, quality_model, quality_rules, secret_scan,
-    token_align, url_filter, warc,
+    language_id, license_scan, metric_tree, mixing, near_dedup, packing, prefix_trie, quality_model, quality_rules,
+    secret_scan, token_align, url_filter, warc,
 )
 from panelcast.llm.common import table
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_mixing": lambda spark, sf: mixing.query(spark, table(spark, sf, "documents")),
     "op10_packing": lambda spark, sf: packing.query(spark, table(spark, sf, "documents")),
     "op11_token_alignment": lambda spark, sf: token_align.query(spark, table(spark, sf, "documents")),
+    "op12_prefix_trie": lambda spark, sf: prefix_trie.query(spark, table(spark, sf, "conversations")),
     "op13_url_filters": lambda spark, sf: url_filter.query(spark, table(spark, sf, "pages")),
 }
 
@@ -34,5 +35,6 @@ ORACLES = {
     "op5_warc": warc.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op13_url_filters": url_filter.oracle_sql(),
 }
