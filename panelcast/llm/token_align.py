@@ -46,6 +46,8 @@ from panelcast.session import materialize
 COMMON = 1 << 18
 #: Pair entries that a task holds before it adds them up, and distinct ones before it emits them.
 HELD = 2_000_000
+#: Characters of the texts that are aligned at once.
+TOGETHER = 4_000_000
 
 ALIGNED = ("key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "pairs binary, times binary")
@@ -109,53 +111,151 @@ class PieceTokens:
 
 
 class Aligner:
-    """Tokens, groups and links of single texts under two tokenizers."""
+    """Tokens, groups and links of texts under two tokenizers; many texts share each array step.
+
+    Even texts (no space at an end or next to other white space) are put
+    together from their words. No token of A reaches across such a single space
+    (its pattern takes a space only at the start of a word), and none of B does
+    if no piece has a space mark after another character, so both tokenizers cut
+    there and each distinct word of a batch is aligned once. All other texts are
+    aligned whole.
+    """
+
+    UNEVEN = re.compile(r"^\s|\s$|\s\x20|\x20\s")
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
-        self.len_a = np.array([len(x) for x in self.a.bytes])
-        self.len_b = np.array([len(x) for x in self.b.bytes])
         self.width = len(self.b.bytes)
-        most = max(len(self.a.bytes), len(self.b.bytes))
-        digits = np.array([str(i) for i in range(most)], dtype="S8")
-        self.n_digits = np.char.str_len(digits)
-        self.digits = digits.view(np.uint8).reshape(most, 8)
-
-    def align(self, text: str):
-        """(n_a, n_b, n_groups, n_links, digest, pairs, times), or None without tokens."""
-        if not text:
-            return None
-        whole = " " + text
-        target = whole.encode()
-        a, b = self.a.ids(whole), self.b.ids(text)
-        if b"".join([self.a.bytes[i] for i in a]) != target or b"".join([self.b.bytes[i] for i in b]) != target:
-            return None
-        a, b = np.array(a), np.array(b)
-        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        ends, cuts = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
-        links = a[np.searchsorted(end_a, ends)] * self.width + b[np.searchsorted(end_b, ends)]
+        self.by_word = not any(re.search(rb"[^\x20]\x20", x) for x in self.b.bytes)
+        self.tables = []
+        for tokens in (self.a, self.b):
+            size = np.array([len(x) for x in tokens.bytes])
+            self.tables.append((size, np.cumsum(size) - size, np.frombuffer(b"".join(tokens.bytes), np.uint8)))
+        digits = np.array([str(i) for i in range(max(len(self.a.bytes), self.width))], dtype="S8")
+        self.n_digits, self.digits = np.char.str_len(digits), digits.view(np.uint8).reshape(len(digits), 8)
+
+    def texts(self, texts: list[str]) -> Iterator[tuple | None]:
+        """Per text (n_a, n_b, n_groups, n_links, digest, pairs, times), or None without tokens."""
+        even = [self.by_word and bool(t) and not self.UNEVEN.search(t) and not self.a.OTHER.search(t) for t in texts]
+        together = self.from_words([t for t, e in zip(texts, even) if e]) if any(even) else iter(())
+        for t, e in zip(texts, even):
+            if e and together:
+                yield next(together)
+                continue
+            ids = self.ids(t) if t else None
+            if not ids or not self.covered([ids]):
+                yield None
+                continue
+            (upto,), form, links = self.align([ids])
+            yield self.result(upto[:3], form[:-1], links)
+
+    def result(self, sizes, form: np.ndarray, links: np.ndarray) -> tuple:
         pairs, times = np.unique(links, return_counts=True)
-        return (len(a), len(b), len(cuts), len(ends), self.digest(a, b, end_a, end_b, cuts), pairs, times)
-
-    def digest(self, a, b, end_a, end_b, cuts) -> str:
-        """SHA-256 of the groups' ids in text form, `a1,a2|b1;a3|b2,b3`."""
-        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        ids = np.concatenate([a, b])[order]
-        mark = np.concatenate([np.where(cuts[group_a] == end_a, ord("|"), ord(",")),
-                               np.where(cuts[group_b] == end_b, ord(";"), ord(","))])[order]
+        return *map(int, sizes), len(links), hashlib.sha256(form.tobytes()).hexdigest(), pairs, times
+
+    def ids(self, text: str) -> tuple:
+        return np.array(self.a.ids(" " + text)), np.array(self.b.ids(text)), (" " + text).encode()
+
+    def from_words(self, texts: list[str]) -> Iterator[tuple] | None:
+        """The results of even texts; None if a word's bytes are not covered."""
+        words = " ".join(texts).split(" ")
+        codes, distinct = pd.factorize(np.array(words, dtype=object))
+        parts, size, first = [], 0, 0
+        for i, w in enumerate(distinct.tolist()):
+            size += len(w)
+            if size > 50_000 or i + 1 == len(distinct):
+                parts.append(self.ids(" ".join(distinct[first:i + 1])))
+                size, first = 0, i + 1
+        if not self.covered(parts):
+            return None
+        return self._put_together(texts, codes, *self.align(parts, words=True))
+
+    def _put_together(self, texts, codes, upto, form, links) -> Iterator[tuple]:
+        sizes = np.diff(upto, axis=0, prepend=0)  # of each word
+        at_form, at_links = (upto - sizes)[:, 3], (upto - sizes)[:, 4]
+        done = 0
+        for t in texts:
+            n = t.count(" ") + 1
+            own = codes[done:done + n]
+            done += n
+            mine = sizes[own]
+            yield self.result(mine[:, :3].sum(axis=0), form[_spread(at_form[own], mine[:, 3])][:-1],
+                              links[_spread(at_links[own], mine[:, 4])])
+
+    def covered(self, ids: list[tuple]) -> bool:
+        """Whether the joined bytes of the tokens are those of the texts."""
+        data = np.frombuffer(b"".join(x[2] for x in ids), np.uint8)
+        for k, (size, start, flat) in enumerate(self.tables):
+            every = np.concatenate([x[k] for x in ids])
+            length = size[every]
+            if length.sum() != len(data):
+                return False
+            at = np.arange(len(data)) + np.repeat(start[every] - np.cumsum(length) + length, length)
+            if not np.array_equal(flat[at], data):
+                return False
+        return True
+
+    def align(self, ids: list[tuple], words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(upto, form, links) of covered texts one after the other: listing and links of all, and
+        what there is of n_a, n_b, n_groups, listing and links up to the end of each text (or word)."""
+        a, b = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
+        end_a, end_b = (np.cumsum(self.tables[k][0][x]) - 1 for k, x in ((0, a), (1, b)))
+        # Marks at the bytes where tokens end; a token's number is the number of ends before it.
+        ends_a, ends_b = np.zeros(end_a[-1] + 1, bool), np.zeros(end_a[-1] + 1, bool)
+        ends_a[end_a] = ends_b[end_b] = True
+        cut = ends_a & ends_b
+        done_a, done_b, done = (np.cumsum(x, dtype=np.int32) for x in (ends_a, ends_b, cut))
+        ends, cuts = np.flatnonzero(ends_a | ends_b), np.flatnonzero(cut)
+        links = a[done_a[ends] - ends_a[ends]] * self.width + b[done_b[ends] - ends_b[ends]]
+        form, stop = self.listing(a, b, done[end_a] - cut[end_a], done[end_b] - cut[end_b], done_a[cuts], done_b[cuts])
+        if words:
+            data = np.frombuffer(b"".join(x[2] for x in ids), np.uint8)
+            last = np.append(np.flatnonzero(data == 32)[1:], len(data)) - 1
+        else:
+            last = np.cumsum([len(x[2]) for x in ids]) - 1
+        upto = np.stack([done_a[last], done_b[last], done[last], stop[done[last] - 1], np.searchsorted(ends, last) + 1], axis=1)
+        return upto, form, links
+
+    def listing(self, a, b, group_a, group_b, upto_a, upto_b) -> tuple[np.ndarray, np.ndarray]:
+        """The groups' ids in text form, `a1,a2|b1;a3|b2,b3;`, and where each group ends in it."""
+        place_a = np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]
+        place_b = np.arange(len(b)) + upto_a[group_b]
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[upto_a - 1]], mark[place_b[upto_b - 1]] = ord("|"), ord(";")
         form, at = self.digits[ids], self.n_digits[ids]
         form[np.arange(len(ids)), at] = mark
-        text = form[np.arange(form.shape[1]) <= at[:, None]]
-        return hashlib.sha256(text[:-1].tobytes()).hexdigest()
+        return form[np.arange(form.shape[1]) <= at[:, None]], np.cumsum(at + 1)[place_b[upto_b - 1]]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one run after the other."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1]) + np.repeat(start - upto + size, size)
+
+
+def _batches(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``TOGETHER`` characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size > TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(numbers, prepend=0).astype("<i8").tobytes(), 1)
+    """Rising or small numbers as compressed steps."""
+    steps = np.diff(numbers, prepend=0)
+    kind = "<i4" if len(steps) == 0 or np.abs(steps).max() < 2 ** 31 else "<i8"
+    return kind[1:].encode() + zlib.compress(steps.astype(kind).tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8"))
+    return np.cumsum(np.frombuffer(zlib.decompress(data[2:]), "<" + data[:2].decode()), dtype=np.int64)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
@@ -167,9 +267,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Da
         aligner = Aligner(a_path, b_path)
         for b in batches:
             rows = []
-            for body, copies in zip(b["text"], b["copies"]):
-                got = aligner.align(body)
-                got = aligner.align(body) or (0, 0, 0, 0, "", NONE, NONE)
+            found = (x for part in _batches(b["text"].tolist()) for x in aligner.texts(part))
+            for body, copies, got in zip(b["text"], b["copies"], found):
+                got = got or (0, 0, 0, 0, "", NONE, NONE)
                 rows.append((hashlib.sha256(body.encode()).digest(), copies, *got[:5], _pack(got[5]), _pack(got[6])))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ALIGNED.split(", ")])
 
