@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.scalar import nan_to_null, parse_date
+from panelcast.session import materialize
+from panelcast.sources.readers import ORDINAL
 
 
 def key_market(raw: DataFrame, site_col: str = "sites", node_col: str = "node_desc",
@@ -93,24 +95,27 @@ def distinct_codes(panel: DataFrame) -> DataFrame:
     return panel.select("code").distinct()
 
 
-def filter_code(panel: DataFrame, code: str) -> DataFrame:
-    """Rows of one series; the equality predicate reaches the scan when possible."""
-    return panel.where(F.col("code") == F.lit(code))
+def codes_in_order(rows: DataFrame, ordinal: str = ORDINAL, key: str = "code") -> DataFrame:
+    """(key, place): the distinct keys, numbered from 0 by their first appearance.
 
-
-# Tasks that each keep their own first ``k`` rows before the final merge.
-TOP_K_BUCKETS = 64
+    ``ordinal`` sorts the rows (see :func:`panelcast.sources.readers.with_input_ordinal`).
+    Keys are combined before the shuffle; the written sort numbers them within
+    its partitions, and the counts of the partitions before shift the numbers,
+    so nothing is numbered by one task.
+    """
+    slot = F.col("_slot")
+    first = rows.groupBy(key).agg(F.min(ordinal).alias("_first"))
+    ranked = materialize(first.orderBy("_first").withColumn("_slot", F.monotonically_increasing_id())
+                         .select(key, F.shiftright(slot, 33).alias("_part"),
+                                 slot.bitwiseAND((1 << 33) - 1).alias("_row")), "codes-in-order")
+    # One row per partition of the sort, whatever the number of keys.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return ranked.join(shifts, "_part").select(key, (F.col("_row") + F.col("_shift")).alias("place"))
 
 
-def top_k_rows(df: DataFrame, k: int, by: list[str], buckets: int = TOP_K_BUCKETS) -> DataFrame:
-    """The first ``k`` rows in ascending ``by`` order, exactly.
+def filter_code(panel: DataFrame, code: str) -> DataFrame:
+    """Rows of one series; the equality predicate reaches the scan when possible."""
+    return panel.where(F.col("code") == F.lit(code))
 
-    Input partitions are folded into ``buckets`` groups and each group keeps
-    its first ``k`` rows (limited before the shuffle as well, see
-    ``WindowGroupLimit``), so the one task of the final ordered limit reads
-    ``buckets * k`` rows at most, however large the input.
-    """
-    group = Window.partitionBy("_b").orderBy(*by)
-    kept = (df.withColumn("_b", F.spark_partition_id() % buckets)
-            .withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= k).drop("_b", "_r"))
-    return kept.orderBy(*by).limit(k)

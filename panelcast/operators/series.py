@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.slices import PIECE, check_strategy, earlier_pieces, range_slices
+from panelcast.session import materialize
 
 
 def forward_fill(df: DataFrame, col: str = "Y", out: str | None = None,
@@ -29,6 +30,28 @@ def forward_fill(df: DataFrame, col: str = "Y", out: str | None = None,
     return df.withColumn(out or col, F.last(col, ignorenulls=True).over(w))
 
 
+def forward_fill_frame(df: DataFrame, col: str = "Y", out: str | None = None,
+                       order: tuple[str, ...] = ("code", "dt"), partitions: int | None = None) -> DataFrame:
+    """Carry the last non-missing value forward through the whole frame in ``order``,
+    across series borders.
+
+    The frame is cut into slices of its order (range partitions, written once);
+    each slice's last known value is one row, a running value over these rows
+    gives every slice what came before it, and a slice is filled by a window of
+    its own. ``order`` must order the rows totally, so that a slice can end anywhere.
+    """
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = materialize(df.repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id()), "frame-slices")
+    known = F.when(F.col(col).isNotNull(), F.struct(*order))
+    last = slices.groupBy("_pid").agg(F.max_by(col, known).alias("_last"))
+    # One row per slice, whatever the number of rows.
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("_pid", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    running = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (slices.join(before, "_pid").withColumn("_in", F.last(col, ignorenulls=True).over(running))
+            .withColumn(out or col, F.coalesce("_in", "_before")).drop("_pid", "_in", "_before"))
+
+
 def daily_spine(panel: DataFrame, value: str = "Y", key: str = "code") -> DataFrame:
     """Every calendar day from each series' first to last date.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.calendar_features import CALENDAR_COLUMNS, add_calendar_features
 from panelcast.functions.labels import FAULT_DATE_FORMAT, ROW_DATE_FORMAT, label_rows
-from panelcast.operators import lags, metrics, panel as P, scale, series, split
+from panelcast.operators import lags, metrics, panel as P, scale, series, split, topk
 from panelcast.plans import panels
 from panelcast.plans.oracle_sql import calendar_select, lag_select, with_ctes
 from panelcast.plans.registry import register
@@ -139,8 +139,8 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 ORDER BY value, market, date LIMIT {TOP_K_ROWS}
 """)
 def q_topk_value(spark, sf_dir):
-    clean = P.clean_measurements(panels.order_measurements(spark, sf_dir))
-    return P.top_k_rows(clean, TOP_K_ROWS, ["value", "market", "date"])
+    clean = materialize(P.clean_measurements(panels.order_measurements(spark, sf_dir)), "clean-measurements")
+    return topk.top_k_rows(clean, TOP_K_ROWS, ["value", "market", "date"])
 
 
 # ------------------------------------------------------------------ series

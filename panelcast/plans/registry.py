@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     # Importing the query modules fills QUERIES / ORACLES.
-    from panelcast.plans import queries_forecast, queries_ml, queries_panel  # noqa: F401
+    from panelcast.plans import queries_forecast, queries_ml, queries_panel, queries_rows  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
