@@ -28,6 +28,8 @@ texts are processed whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,14 +50,19 @@ EPOCHS = 2
 BUCKETS = 1 << 15
 WIDTH = 24
 SEGMENT = 40
+#: One training segment in so many is repeated with an end in another language.
+SWITCH = 8
 #: Words of a worker's emission cache, and words that go through the chain together.
 CACHE = 300_000
 CHAIN_WORDS = 1_000_000
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
-WORD = re.compile(r"[^\W\d_]+")
-PIECE = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
+# A letter is what Unicode calls one (categories L*), as in Spark's \p{L}: word characters
+# but digits, "_" and the other numbers (such as fractions and Roman numerals).
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
+WORD = re.compile(rf"{LETTER.pattern}+")
+PIECE = re.compile(rf"{LETTER.pattern}{{1,{WIDTH}}}")
 
 
 @dataclass
@@ -184,9 +191,22 @@ def text_posteriors(ids: list[np.ndarray], table: np.ndarray, move: np.ndarray,
     return out
 
 
-def _epochs(field: Field, segments: list[tuple[np.ndarray, int]], idx: np.ndarray, seed: int,
+def _joined(segments: list[tuple[np.ndarray, np.ndarray]], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Segments that switch: the start of one and the end of another of a different language,
+    one for every ``SWITCH`` segments."""
+    rng = np.random.default_rng(1000 + seed)
+    whole = [s for s in segments if len(s[0]) == SEGMENT]
+    out = []
+    for i in rng.permutation(len(whole))[:len(whole) // SWITCH]:
+        j, cut = rng.integers(len(whole)), rng.integers(SEGMENT // 4, SEGMENT - SEGMENT // 4)
+        if whole[i][1][0] != whole[j][1][0]:
+            out.append(tuple(np.concatenate([whole[i][k][:cut], whole[j][k][cut:]]) for k in (0, 1)))
+    return out
+
+
+def _epochs(field: Field, segments: list[tuple[np.ndarray, np.ndarray]], idx: np.ndarray, seed: int,
             rate: float = 0.2, decay: float = 1e-5) -> None:
-    """Adagrad over equally long segments of word numbers, labelled with one language each."""
+    """Adagrad over equally long segments of word numbers and the words' languages."""
     langs = len(field.langs)
     rng = np.random.default_rng(seed)
     g_emit, g_move, g_start = (np.full_like(x, 1e-6) for x in (field.emit, field.move, field.start))
@@ -199,19 +219,19 @@ def _epochs(field: Field, segments: list[tuple[np.ndarray, int]], idx: np.ndarra
         for b in rng.permutation(len(batches)):
             part = [segments[i] for i in batches[b]]
             words = np.stack([ids for ids, _ in part])
-            gold = np.array([lang for _, lang in part])
+            gold = np.stack([lang for _, lang in part])
             active = idx[words]  # chains, steps, features
             score = field.emit[active].sum(axis=2)
             node, pairs = posteriors(np.exp(score - score.max(axis=2, keepdims=True)),
                                      np.exp(field.move), np.exp(field.start))
             want = np.zeros_like(node)
-            want[np.arange(len(part)), :, gold] = 1
+            np.put_along_axis(want, gold[:, :, None], 1, axis=2)
             d = (node - want).reshape(-1, langs) / len(part)
             flat = active.reshape(len(d), -1)
             grad = np.stack([np.bincount(flat.ravel(), np.repeat(d[:, c], flat.shape[1]), len(field.emit))
                              for c in range(langs)], axis=1) + decay * field.emit
-            steps = words.shape[1] - 1
-            d_move = (pairs - np.diag(np.bincount(gold, minlength=langs)) * steps) / len(part) + 0.05 * field.move
+            moves = np.bincount((gold[:, :-1] * langs + gold[:, 1:]).ravel(), minlength=langs * langs)
+            d_move = (pairs - moves.reshape(langs, langs)) / len(part) + 0.05 * field.move
             d_start = (node[:, 0] - want[:, 0]).mean(axis=0) + 0.05 * field.start
             for w, g, x in ((field.emit, g_emit, grad), (field.move, g_move, d_move), (field.start, g_start, d_start)):
                 g += x * x
@@ -256,7 +276,9 @@ def _trainer(field: Field, step: int):
         segments = []
         for lang, body in sorted(zip(share["lang"], share["text"])):
             ids = np.array([seen.setdefault(w, len(seen)) for w in pieces_of(body)], np.int64)
-            segments += [(ids[i:i + SEGMENT], field.langs.index(lang)) for i in range(0, len(ids), SEGMENT)]
+            gold = np.full(len(ids), field.langs.index(lang))
+            segments += [(ids[i:i + SEGMENT], gold[i:i + SEGMENT]) for i in range(0, len(ids), SEGMENT)]
+        segments += _joined(segments, step)
         if segments:
             _epochs(own, segments, features(list(seen), field.lexicon, len(field.langs)), step)
         weights = np.concatenate([own.emit.ravel(), own.move.ravel(), own.start])
