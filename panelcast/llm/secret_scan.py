@@ -20,6 +20,7 @@ the last line of the key (base64 and the headers before it).
 
 Defined cases: null texts are read as empty (no findings, one shared blob);
 null and repeated keys are kept, each row gets the findings of its own text;
+very long texts are scanned whole; spans that start together are ordered by kind;
 an empty table gives an empty result; extra columns are left alone.
 """
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from panelcast.llm.common import fresh, text_of
 from panelcast.session import materialize, scratch_path
 
 RULES_VERSION = "r2"
+#: Session setting that names a folder for a ledger that later runs go on with.
+LEDGER_CONF = "spark.panelcast.secretLedger"
 BASE_KINDS = ("assign", "access", "hex")
 
 # The base patterns (shorter matches are dropped after matching).
@@ -77,7 +81,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    done: set[bytes] = set()  # rows that repeat a key and its text meet in one task
     for b in batches:
+        new = [x not in done and not done.add(x) for x in map(bytes, b["blob"])]
+        b = b[np.array(new, bool)]
         spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in b["text"]]
         yield pd.DataFrame({"blob": b["blob"], "spans": spans})
 
@@ -127,12 +134,23 @@ def scan(versions: DataFrame, ledger_path: str, key: str = "doc_id", text: str =
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """The ledger, or None where there is none yet."""
+    """The ledger, one entry per blob and rule version, or None where there is none yet.
+
+    Two scans that ran at the same time may both have entered a blob.
+    """
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(where):
         return None
-    return spark.read.schema(f"blob binary, spans {SPANS}, version string").parquet(path)
+    entries = spark.read.schema(f"blob binary, spans {SPANS}, version string").parquet(path)
+    return entries.groupBy("blob", "version").agg(F.first("spans").alias("spans")).select("blob", "spans", "version")
+
+
+def session_ledger(spark: SparkSession, version: str = RULES_VERSION) -> str:
+    """The ledger of this session's scans: the folder that ``spark.panelcast.secretLedger``
+    names (kept between runs, one below it per rule version), else a fresh one."""
+    kept = spark.conf.get(LEDGER_CONF, None)
+    return f"{kept.rstrip('/')}/{version}" if kept else scratch_path(spark, "secret-ledger")
 
 
 def findings(addressed: DataFrame, ledger: DataFrame, version: str = RULES_VERSION) -> DataFrame:
@@ -149,7 +167,7 @@ def _joined(spans: Column) -> Column:
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, digest of the base spans, all spans."""
-    addressed, ledger = scan(docs, scratch_path(spark, "secret-ledger"))
+    addressed, ledger = scan(docs, session_ledger(spark))
     spans = F.col("spans")
 
     def count(kind: str) -> Column:
