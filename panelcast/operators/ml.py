@@ -14,6 +14,8 @@ early-stopping rule), so predictions are comparable in kind, not in value.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -22,11 +24,14 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasOutputCol
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.util import (DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable,
+                             MLWriter)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.split import mark_split
+from panelcast.session import scratch_path
 
 # Trainer settings of the source scripts.
 FIRST_FIT = {"maxIter": 27, "maxDepth": 10, "stepSize": 0.18}
@@ -189,7 +194,33 @@ def select_split_on(ranked: list[tuple[int, float]], top_fraction: float | None
     return used
 
 
-class FeatureImpSelector(Estimator, HasOutputCol):
+class _SelectorWriter(MLWriter):
+    """Saves the selector's own parameters and, in a folder of its own, its estimator."""
+
+    def __init__(self, instance: FeatureImpSelector):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        own = {p.name: v for p, v in self.instance._paramMap.items() if p.name != "estimator"}
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, paramMap=own,
+                                         extraMetadata={"hasEstimator": self.instance.isSet("estimator")})
+        if self.instance.isSet("estimator"):
+            self.instance.getEstimator().write().save(f"{path}/estimator")
+
+
+class _SelectorReader(MLReader):
+    def load(self, path: str) -> FeatureImpSelector:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession, f"{__name__}.FeatureImpSelector")
+        selector = FeatureImpSelector()
+        selector._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(selector, metadata)
+        if metadata["hasEstimator"]:
+            selector.setEstimator(DefaultParamsReader.loadParamsInstance(f"{path}/estimator", self.sparkSession))
+        return selector
+
+
+class FeatureImpSelector(Estimator, HasOutputCol, MLReadable, MLWritable):
     """Fits a tree estimator and keeps the features it found most important.
 
     ``selectorType="numTopFeatures"`` keeps the ``numTopFeatures`` highest
@@ -248,6 +279,18 @@ class FeatureImpSelector(Estimator, HasOutputCol):
     def getThreshold(self):
         return self.getOrDefault(self.threshold)
 
+    def copy(self, extra=None):
+        """A copy whose estimator is a copy too, with the parameters of ``extra`` that are its own."""
+        new = super().copy(extra)
+        return new.setEstimator(self.getEstimator().copy(extra)) if self.isSet("estimator") else new
+
+    def write(self) -> MLWriter:
+        return _SelectorWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SelectorReader()
+
     def _fit(self, dataset: DataFrame) -> VectorSlicer:
         est = self.getEstimator()
         kind = self.getSelectorType()
@@ -295,6 +338,58 @@ def cross_validator(features: list[str], estimator: GBTRegressor,
     return cv
 
 
+#: Fold errors that one aggregate can give, by the evaluator's metric.
+FOLD_ERRORS = {
+    "rmse": lambda e: F.sqrt(F.avg(e * e)),
+    "mse": lambda e: F.avg(e * e),
+    "mae": lambda e: F.avg(F.abs(e)),
+}
+
+
+def cross_validate_in_one_pass(cv: CrossValidator, dataset: DataFrame) -> CrossValidatorModel:
+    """``cv.fit(dataset)`` with all models of all folds evaluated by one job.
+
+    The rows are written once, by fold (the folds that ``cv`` would draw). After
+    the fits, one job reads every row once, scores it with the models that did
+    not see its fold, a column per parameter set, and one aggregate grouped by
+    fold gives all errors; ``cv`` itself runs a job per fold and parameter set.
+    The estimator is a pipeline whose last stage predicts and whose other
+    stages do not depend on the parameters or on the rows fitted.
+    """
+    metric = cv.getEvaluator().getMetricName()
+    if metric not in FOLD_ERRORS:
+        raise ValueError(f"cannot aggregate {metric!r}; choose one of {', '.join(FOLD_ERRORS)}")
+    folds, grid, fold_col = cv.getNumFolds(), cv.getEstimatorParamMaps(), cv.getFoldCol()
+    fold = F.col(fold_col) if fold_col else F.floor(F.rand(cv.getSeed()) / F.lit(1.0 / folds))
+    out = F.raise_error(F.concat(F.lit(f"not a fold below {folds}: "), F.coalesce(fold.cast("string"), F.lit("null"))))
+    path = scratch_path(dataset.sparkSession, "cv-rows")
+    dataset.withColumn("_fold", F.when((fold >= 0) & (fold < folds), fold).otherwise(out.cast("int")).cast("int")
+                       ).write.partitionBy("_fold").parquet(path)
+    rows = dataset.sparkSession.read.parquet(path)
+    label = cv.getEvaluator().getLabelCol()
+    fitted = []  # by fold, one model per parameter set
+    with ThreadPool(max(1, cv.getParallelism())) as pool:
+        for k in range(folds):
+            train = rows.where(F.col("_fold") != k).drop("_fold")
+            one = cv.getEstimator().fitMultiple(train, grid)
+            fitted.append([m for _, m in sorted(pool.map(lambda _: next(one), grid), key=lambda x: x[0])])
+    scored = None
+    for k, models in enumerate(fitted):
+        part = PipelineModel(models[0].stages[:-1]).transform(rows.where(F.col("_fold") == k))
+        for i, model in enumerate(models):
+            part = model.stages[-1].copy().setPredictionCol(f"_p{i}").transform(part)
+        part = part.select("_fold", *[(F.col(f"_p{i}") - F.col(label)).alias(f"_e{i}") for i in range(len(grid))])
+        scored = part if scored is None else scored.unionByName(part)
+    errors = scored.groupBy("_fold").agg(*[FOLD_ERRORS[metric](F.col(f"_e{i}")).alias(f"m{i}") for i in range(len(grid))])
+    by_fold = {r["_fold"]: [r[f"m{i}"] for i in range(len(grid))] for r in errors.collect()}  # one row per fold
+    if len(by_fold) < folds:
+        raise ValueError(f"only the folds {sorted(by_fold)} of {folds} have rows")
+    average = [sum(by_fold[k][i] for k in range(folds)) / folds for i in range(len(grid))]
+    best = min(range(len(grid)), key=average.__getitem__)
+    model = cv.getEstimator().fit(rows.drop("_fold"), grid[best])
+    return cv._copyValues(CrossValidatorModel(model, average))
+
+
 def save_model(model, path: str) -> str:
     model.write().overwrite().save(path)
     return path

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.calendar_features import CALENDAR_COLUMNS, add_calendar_features
-from panelcast.operators import forecast as FC
+from panelcast.operators import forecast as FC, trees
 from panelcast.operators import lags, metrics, ml
 from panelcast.operators.panel import build_panel
 from panelcast.operators.split import mark_split
@@ -101,9 +101,7 @@ def select_refit_forecast_flow(raw: DataFrame, first=None, refit=None,
     first = first if first is not None else ml.gbt(**_args(ml.FIRST_FIT))
     refit = refit if refit is not None else ml.gbt(**_args(ml.REFIT))
     model = ml.fit_pipeline(data.train, data.features, first)
-    assembled = model.stages[0].transform(data.train)
-    ranked = ml._ranked(model.stages[-1].featureImportances, assembled,
-                        first.getFeaturesCol())
+    ranked = trees.ranked_by_gain(model.stages[-1])
     keep = [data.features[i] for i in ml.select_split_on(ranked, top_fraction)]
     final = ml.fit_pipeline(data.train, keep, refit)
     strategy = kw.get("strategy", "window")

@@ -14,11 +14,12 @@ best parameters. The forecast queries use a fixed linear model, which SQL can fo
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from panelcast.operators import forecast as FC
-from panelcast.operators import metrics, ml
+from panelcast.operators import boosting, metrics, ml, trees
 from panelcast.operators.split import mark_split
 from panelcast.plans import panels
 from panelcast.plans.oracle_sql import with_ctes
@@ -26,7 +27,7 @@ from panelcast.plans.queries_forecast import _COMB, _CYC, _W, LOG_DECIMALS
 from panelcast.plans.queries_panel import _MODEL_COLS, _SPLIT_CTE, model_frame_a
 from panelcast.plans.registry import register
 from panelcast.session import materialize, scratch_path
-from panelcast.sources import sinks
+from panelcast.sources import packed, sinks
 
 FEATURES = [c for c in _MODEL_COLS if c != "Y"]
 FIRST = {"max_iter": ml.FIRST_FIT["maxIter"], "max_depth": ml.FIRST_FIT["maxDepth"],
@@ -98,22 +99,20 @@ def q_gbt_mape_train_test(spark, sf_dir):
         "split", "n_scored", "n_zero_truth", finite("mape").alias("finite"))
 
 
-@register("gbt_early_stop", with_ctes(_SPLIT_CTE, f"""
-SELECT code, dt, Y, TRUE AS finite, {2 * ml.FIRST_FIT['maxIter']} AS history_rows, TRUE AS stopped_at_best
+@register("gbt_early_stop", with_ctes(_SPLIT_CTE, """
+SELECT code, dt, Y, TRUE AS finite, TRUE AS stopped_at_best, TRUE AS stopped_in_time
 FROM marked WHERE NOT is_train"""))
 def q_gbt_early_stop(spark, sf_dir):
-    """Rounds chosen with a patience of 5 on the latest dates of train (never on test)."""
+    """Boosting that stops after 5 rounds without gain on the latest dates of train
+    (never on test): rounds after the stop are not fitted."""
     train, test, feats = training_frames(spark, sf_dir)
-    marked = ml.mark_validation_tail(train)
-    fit = marked.where(~F.col("is_validation")).drop("is_validation")
-    tail = marked.where("is_validation").drop("is_validation")
-    model, rounds, history = ml.fit_with_patience(
-        fit, feats, ml.gbt(**FIRST), {"train": fit, "validation": tail}, "validation")
-    errors = [r.rmse for r in history.where("set = 'validation'").orderBy("round").collect()]
-    at_best = errors[rounds - 1] == min(errors[:rounds + ml.PATIENCE])
-    scored = ml.first_rounds(model.stages[-1], model.stages[0].transform(test), rounds)
-    return _scored(scored).withColumns({"history_rows": F.lit(history.count()).cast("int"),
-                                        "stopped_at_best": F.lit(at_best)})
+    vectors = ml.assembler(feats)
+    done = boosting.boost(vectors.transform(ml.mark_validation_tail(train)))
+    errors = [r.rmse for r in done.history.where("set = 'validation'").orderBy("round").collect()]
+    at_best = errors[done.rounds - 1] == min(errors)
+    in_time = len(errors) == done.fitted == min(ml.FIRST_FIT["maxIter"], done.rounds + ml.PATIENCE)
+    return _scored(done.model.transform(vectors.transform(test))).withColumns(
+        {"stopped_at_best": F.lit(at_best), "stopped_in_time": F.lit(in_time)})
 
 
 @register("feature_importance", with_ctes(_FEATURE_CTE, """
@@ -131,9 +130,27 @@ def q_feature_importance(spark, sf_dir):
             .select("idx", "name", "lo", "hi", F.lit(total).alias("total"), F.lit(ordered).alias("ordered")))
 
 
-def _selected(spark, sf_dir, selector_type):
+def _planted(spark, sf_dir):
     train, _, feats = training_frames(spark, sf_dir)
-    train = materialize(train.withColumn("Y", F.when(F.col(PLANTED) >= 7, 1.0).otherwise(0.0)), "planted")
+    return materialize(train.withColumn("Y", F.when(F.col(PLANTED) >= 7, 1.0).otherwise(0.0)), "planted"), feats
+
+
+@register("feature_total_gain", with_ctes(_FEATURE_CTE, f"""
+SELECT CAST(idx AS INTEGER) AS idx, name, CAST(CASE WHEN name = '{PLANTED}' THEN 1 ELSE 0 END AS BIGINT) AS n_splits,
+       round(CASE WHEN name = '{PLANTED}' THEN (SELECT count(*) * avg(CASE WHEN {PLANTED} >= 7 THEN 1.0 ELSE 0.0 END)
+                                                      * (1 - avg(CASE WHEN {PLANTED} >= 7 THEN 1.0 ELSE 0.0 END))
+                                               FROM marked WHERE is_train) ELSE 0.0 END, 4) AS total_gain
+FROM names"""))
+def q_feature_total_gain(spark, sf_dir):
+    """Squared error that each feature's splits remove, from the nodes of the saved
+    booster: on the planted target one split removes all of it."""
+    train, feats = _planted(spark, sf_dir)
+    model = ml.fit_pipeline(train, feats, ml.gbt(**FIRST))
+    return trees.gain_table(model.stages[-1], feats).withColumn("total_gain", F.round("total_gain", 4))
+
+
+def _selected(spark, sf_dir, selector_type):
+    train, feats = _planted(spark, sf_dir)
     assembled = ml.assembler(feats).transform(train)
     sel = ml.FeatureImpSelector(estimator=ml.gbt(**FIRST), selectorType=selector_type,
                                 numTopFeatures=int(len(feats) * ml.SELECT_FRACTION),
@@ -162,10 +179,25 @@ def q_feature_select_threshold(spark, sf_dir):
     return _selected(spark, sf_dir, "threshold")
 
 
+@register("selector_save_load", with_ctes(_FEATURE_CTE, f"""
+SELECT * FROM ({_RANKED_SQL}) WHERE rank < {int(len(FEATURES) * ml.SELECT_FRACTION)}"""))
+def q_selector_save_load(spark, sf_dir):
+    """An unfitted pipeline of assembler and selector, saved, loaded and fitted on the planted target."""
+    train, feats = _planted(spark, sf_dir)
+    selector = ml.FeatureImpSelector(estimator=ml.gbt(**FIRST), numTopFeatures=int(len(feats) * ml.SELECT_FRACTION),
+                                     outputCol="features_subset")
+    path = scratch_path(spark, "selector-pipeline")
+    Pipeline(stages=[ml.assembler(feats), selector]).write().save(path)
+    slicer = Pipeline.load(path).fit(train).stages[-1]
+    rows = [(rank, int(i), feats[int(i)]) for rank, i in enumerate(slicer.getIndices())]
+    return (spark.createDataFrame(rows, "rank int, idx int, name string")
+            .join(_ranges(train, feats), "name").select("rank", "idx", "name", "lo", "hi"))
+
+
 def _refit(spark, sf_dir, top_fraction):
+    """Refit on the features that the first fit split on, ranked by total gain."""
     model, train, test, feats = _first_fit(spark, sf_dir)
-    assembled = model.stages[0].transform(train)
-    ranked = ml._ranked(model.stages[-1].featureImportances, assembled, "features")
+    ranked = trees.ranked_by_gain(model.stages[-1])
     keep = [feats[i] for i in ml.select_split_on(ranked, top_fraction)]
     return _scored(ml.fit_pipeline(train, keep, ml.gbt(**REFIT)).transform(test))
 
@@ -210,7 +242,7 @@ FROM marked WHERE NOT is_train"""))
 def q_gbt_cross_validate(spark, sf_dir):
     """3-fold CV over depth x rate, best model refit, predictions on test."""
     train, test, feats = training_frames(spark, sf_dir)
-    model = ml.cross_validator(feats, ml.gbt(max_iter=ml.CV_ROUNDS)).fit(train)
+    model = ml.cross_validate_in_one_pass(ml.cross_validator(feats, ml.gbt(max_iter=ml.CV_ROUNDS)), train)
     return _scored(model.transform(test)).select("*", *_chosen(model))
 
 
@@ -222,7 +254,8 @@ def q_gbt_cross_validate_time_folds(spark, sf_dir):
     """CV with folds that are contiguous date ranges of train (``foldCol``)."""
     train, _, feats = training_frames(spark, sf_dir)
     train = ml.mark_time_folds(train)
-    model = ml.cross_validator(feats, ml.gbt(max_iter=ml.CV_ROUNDS), fold_col="fold").fit(train)
+    model = ml.cross_validate_in_one_pass(
+        ml.cross_validator(feats, ml.gbt(max_iter=ml.CV_ROUNDS), fold_col="fold"), train)
     return model.transform(train).select("code", "dt", "fold", finite("prediction").alias("finite"), *_chosen(model))
 
 
@@ -308,6 +341,14 @@ def q_forecast_csv_sink(spark, sf_dir):
     return _logged(sinks.read_forecast_csv(spark, path))
 
 
+@register("forecast_packed_sink", FORECAST_SQL)
+def q_forecast_packed_sink(spark, sf_dir):
+    """Forecast written as packed files with a manifest, read back by its byte ranges."""
+    path = scratch_path(spark, "packed-forecast")
+    packed.write_packed_csv(_forecast(spark, sf_dir), path)
+    return _logged(packed.read_packed_csv(spark, path))
+
+
 @register("forecast_mape_by_code", with_ctes(_FORECAST, f"""
 SELECT code, ROUND(avg(abs((prediction - truth) / nullif(truth, 0))), {LOG_DECIMALS}) AS mape,
        count(abs((prediction - truth) / nullif(truth, 0))) AS n_scored,

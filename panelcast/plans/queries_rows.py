@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import accounting, panel as P, series, topk
+from panelcast.operators import accounting, lag_state, moments, panel as P, scale, series, topk
 from panelcast.plans import panels
 from panelcast.plans.oracle_sql import with_ctes
-from panelcast.plans.queries_panel import RAW_A_SQL, SENTINEL, SENTINEL_DAY
-from panelcast.plans.registry import register
+from panelcast.plans.queries_panel import (FEATURE_BASE, N_LAGS, RAW_A_SQL, SENTINEL, SENTINEL_DAY, calendar_panel)
+from panelcast.plans.registry import ORACLES, register
 from panelcast.session import materialize, scratch_path
 from panelcast.sources import readers, reject_ledger
 from panelcast.sources.readers import RAW_DATE_FORMAT
@@ -140,3 +140,39 @@ def q_codes_in_order(spark, sf_dir):
     raw = panels.raw_orders(spark, sf_dir)
     raw.repartitionByRange("ok").sortWithinPartitions("ok").select("code", "Y").write.parquet(path)
     return P.codes_in_order(readers.read_parquet(spark, path, ordinal=True))
+
+
+# Rows before this date are a first load, the others an append.
+APPEND_FROM = "1997-01-01"
+
+
+@register("lag_frame_incremental", ORACLES["lag_frame_backward"])
+def q_lag_frame_incremental(spark, sf_dir):
+    """The lag frame of panel A from two appends; each row is framed when it arrives."""
+    panel = materialize(calendar_panel(spark, sf_dir), "calendar-panel")
+    first, state = lag_state.append(None, panel.where(F.col("dt") < APPEND_FROM), N_LAGS, FEATURE_BASE)
+    then, _ = lag_state.append(state, panel.where(F.col("dt") >= APPEND_FROM))
+    return first.unionByName(then)
+
+
+def _merged_moments(spark, sf_dir):
+    panel = materialize(calendar_panel(spark, sf_dir), "calendar-panel")
+    path = scratch_path(spark, "moments")
+    moments.append_moments(panel.where(F.col("dt") < APPEND_FROM), FEATURE_BASE, path, "first")
+    return panel, moments.append_moments(panel.where(F.col("dt") >= APPEND_FROM), FEATURE_BASE, path, "then")
+
+
+@register("zscore_merged", ORACLES["zscore"])
+def q_zscore_merged(spark, sf_dir):
+    """Scaling by mean and deviation merged from the daily moments of two loads."""
+    panel, table = _merged_moments(spark, sf_dir)
+    scaled, _, _ = scale.zscore(panel, FEATURE_BASE, *moments.zscore_statistics(table, FEATURE_BASE))
+    return scaled.select("code", "dt", *[F.round(c, 6).alias(c) for c in FEATURE_BASE])
+
+
+@register("minmax_merged", ORACLES["minmax_shifted"])
+def q_minmax_merged(spark, sf_dir):
+    """Scaling by the range merged from the same moments."""
+    panel, table = _merged_moments(spark, sf_dir)
+    scaled, _, _ = scale.minmax_shifted(panel, FEATURE_BASE, *moments.minmax_statistics(table, FEATURE_BASE))
+    return scaled.select("code", "dt", *[F.round(c, 9).alias(c) for c in FEATURE_BASE])

@@ -110,3 +110,109 @@ def test_best_round():
     assert ml.best_round([5, 4, 3, 3.5, 3.2, 3.1, 3.3, 3.4, 1.0], patience=5) == 3
     assert ml.best_round([5, 4, 3, 3.5, 3.2, 2.0, 3.3], patience=5) == 6
     assert ml.best_round([1.0], patience=5) == 1
+
+
+# --- trees as tables, boosting that stops, saved selectors, one-pass folds ---
+
+def _assembled(spark, rows):
+    df = spark.createDataFrame(rows, "Y double, a double, b double, valid boolean")
+    return ml.assembler(["a", "b"]).transform(df)
+
+
+def test_total_gain_of_a_hand_computed_tree(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from panelcast.operators import trees
+
+    # Four rows each at (0, 0), (0, 1), (1, 0), (1, 1): a halves the error first, b does the rest on one side.
+    rows = [(y, a, b, False) for (y, a, b) in ((0.0, 0.0, 0.0), (0.0, 0.0, 1.0), (10.0, 1.0, 0.0), (14.0, 1.0, 1.0)) for _ in range(4)]
+    df = _assembled(spark, rows)
+    model = DecisionTreeRegressor(labelCol="Y", maxDepth=2).fit(df)
+    # Mean 6: error 4*(36+36+16+64) = 608. After a: sides (0, 0) and (10, 14) with error 4*(4+4) = 32. After b: 0.
+    got = {r.name: (r.n_splits, r.total_gain) for r in trees.gain_table(model, ["a", "b"]).collect()}
+    assert got == {"a": (1, pytest.approx(576)), "b": (1, pytest.approx(32))}
+    assert [i for i, _ in trees.ranked_by_gain(model)] == [0, 1]
+    nodes = trees.tree_nodes(model).collect()
+    assert len(nodes) == 5 and sum(r.feature is None for r in nodes) == 3
+    # The library's importances give each tree the same weight; total gain does not.
+    gbt = ml.gbt(max_iter=3, max_depth=2).fit(df)
+    assert trees.ranked_by_gain(gbt)[0][1] == pytest.approx(576)
+    twice = trees.booster_of([model, model], [1.0, 0.5])
+    assert twice.transform(df).selectExpr("max(prediction)").first()[0] == pytest.approx(21)
+
+
+def _overfit(spark):
+    rnd = random.Random(7)
+    return [((10.0 if a > 5 else 0.0) + rnd.gauss(0, 4), a, rnd.uniform(0, 10), i >= 300)
+            for i, a in enumerate(rnd.uniform(0, 10) for _ in range(600))]
+
+
+def test_boosting_stops_fitting(spark, tmp_dir, monkeypatch):
+    from panelcast.operators import boosting
+
+    df = _assembled(spark, _overfit(spark))
+    kw = {"valid_col": "valid", "rounds": 20, "depth": 6, "rate": 0.5, "patience": 4, "chunk": 3}
+    done = boosting.boost(df, folder=f"{tmp_dir}/one", **kw)
+    assert done.fitted == done.rounds + 4 < 20 and len(done.model.trees) == done.rounds + 1
+    errors = {(r["set"], r["round"]): r.rmse for r in done.history.collect()}
+    assert len(errors) == 2 * done.fitted
+    got = done.model.transform(df.where("valid")).selectExpr("sqrt(avg(pow(prediction - Y, 2)))").first()[0]
+    assert got == pytest.approx(errors["validation", done.rounds])
+    # A run that is broken off goes on after its last written table, with the same result.
+    fits, plain = [], boosting.DecisionTreeRegressor.fit
+
+    def breaks(self, *args):
+        fits.append(self.getMaxDepth())
+        if len(fits) == 6:
+            raise KeyboardInterrupt
+        return plain(self, *args)
+
+    monkeypatch.setattr(boosting.DecisionTreeRegressor, "fit", breaks)
+    with pytest.raises(KeyboardInterrupt):
+        boosting.boost(df, folder=f"{tmp_dir}/two", **kw)
+    again = boosting.boost(df, folder=f"{tmp_dir}/two", **kw)
+    assert {(r["set"], r["round"]): r.rmse for r in again.history.collect()} == pytest.approx(errors)
+    assert len(fits) == 6 + again.fitted - 3 and fits.count(0) == 1
+    saved = ml.save_model(again.model, f"{tmp_dir}/model")
+    assert type(again.model).load(saved).transform(df).exceptAll(again.model.transform(df)).count() == 0
+
+
+def test_unfitted_selector_is_saved_with_its_estimator(spark, tmp_dir):
+    from pyspark.ml import Pipeline
+
+    df = _planted(spark, 200)
+    feats = ["a", "b", "c"]
+    pipe = ml.selection_pipeline(feats, ml.gbt(max_iter=2, max_depth=2), ml.gbt(max_iter=2, max_depth=3, features_col="sub"), num_top=2)
+    pipe.write().overwrite().save(f"{tmp_dir}/p")
+    back = Pipeline.load(f"{tmp_dir}/p")
+    sel = back.getStages()[1]
+    assert (sel.getNumTopFeatures(), sel.getOutputCol(), sel.getEstimator().getMaxIter(), sel.uid) == (2, "sub", 2, pipe.getStages()[1].uid)
+    a, b = (p.fit(df).transform(df).select("dt", "prediction").orderBy("dt").collect() for p in (pipe, back))
+    assert a == b
+    empty = ml.FeatureImpSelector(threshold=0.3, selectorType="threshold")
+    empty.write().save(f"{tmp_dir}/s")
+    loaded = ml.FeatureImpSelector.load(f"{tmp_dir}/s")
+    assert loaded.getThreshold() == 0.3 and not loaded.isSet("estimator")
+    # A whole cross-validation that holds it.
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    grid = ParamGridBuilder().addGrid(pipe.getStages()[1].numTopFeatures, [1, 2]).build()
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="Y"), numFolds=2, seed=1)
+    cv.write().save(f"{tmp_dir}/cv")
+    assert CrossValidator.load(f"{tmp_dir}/cv").fit(df).avgMetrics == pytest.approx(cv.fit(df).avgMetrics)
+
+
+@pytest.mark.parametrize("fold_col", [None, "fold"])
+def test_folds_in_one_pass_are_the_library_s(spark, fold_col):
+    from pyspark.sql import functions as F
+
+    df = _planted(spark, 300).withColumn("fold", F.col("dt") % 3).coalesce(1)
+    cv = ml.cross_validator(["a", "b", "c"], ml.gbt(max_iter=2), depths=(1, 3), steps=(0.1, 0.4), fold_col=fold_col)
+    want, got = cv.fit(df), ml.cross_validate_in_one_pass(cv, df)
+    assert got.avgMetrics == pytest.approx(want.avgMetrics)
+    a, b = ([r.prediction for r in m.transform(df).select("prediction").collect()] for m in (got, want))
+    assert a == pytest.approx(b)
+    if fold_col:
+        with pytest.raises(Exception, match="not a fold"):
+            ml.cross_validate_in_one_pass(cv, df.withColumn("fold", F.lit(3)))
+        with pytest.raises(ValueError, match="have rows"):
+            ml.cross_validate_in_one_pass(cv, df.withColumn("fold", F.col("fold") % 2))
