@@ -6,6 +6,13 @@ Parquet under the shared checkpoint folder and read back as the next stage's
 ``docs``, so a lost executor costs a re-read of a written table and never a
 rerun of earlier stages. All stages but the last return the columns of
 ``documents``.
+
+Defined cases are those of the operators: a null or empty text has no words, so the
+rules drop it; rows that repeat id and text are one document; rows with a null
+id or source stay rows of their own; ties (of classes, spans and draws) are
+broken by the operators' rules; very long texts are taken whole, and cut into
+pieces by packing only; extra columns pass through to the last stage, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import mixing, near_dedup, packing, quality_rules, secret_scan
 from panelcast.llm.common import table
-from panelcast.session import materialize, scratch_path
+from panelcast.session import materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret that the blob ledger holds for a text; all documents stay."""
-    _, ledger = secret_scan.scan(docs, scratch_path(spark, "secret-ledger"))
+    _, ledger = secret_scan.scan(docs, secret_scan.session_ledger(spark))
     return secret_scan.redact(docs, ledger)
 
 
