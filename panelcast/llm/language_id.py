@@ -57,12 +57,16 @@ CACHE = 300_000
 CHAIN_WORDS = 1_000_000
 UNKNOWN = "und"
 
-# A letter is what Unicode calls one (categories L*), as in Spark's \p{L}: word characters
-# but digits, "_" and the other numbers (such as fractions and Roman numerals).
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
-WORD = re.compile(rf"{LETTER.pattern}+")
-PIECE = re.compile(rf"{LETTER.pattern}{{1,{WIDTH}}}")
+# A letter is what Unicode calls one (categories L*), as in Spark's \p{L}: a word character
+# but digits, "_" and the other numbers (such as fractions and Roman numerals), which are blanked first.
+_NUMBERS = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
+# Two classes: one with characters above U+FFFF is searched one by one, which would slow down all texts.
+NUMBER = re.compile(f"[{''.join(c for c in _NUMBERS if c <= chr(0xFFFF))}]")
+HIGH = re.compile(f"[{chr(0x10000)}-{chr(sys.maxunicode)}]")
+HIGH_NUMBER = re.compile(f"[{''.join(c for c in _NUMBERS if c > chr(0xFFFF))}]")
+LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+")
+PIECE = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
 
 
 @dataclass
@@ -80,14 +84,20 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts == part
 
 
+def blanked(text: str) -> str:
+    """The text with its number characters as spaces (digits are none of words anyway)."""
+    text = NUMBER.sub(" ", text)
+    return HIGH_NUMBER.sub(" ", text) if HIGH.search(text) else text
+
+
 def letters_of(chunk: str) -> str:
     """The letters of a white-space separated chunk, in lower case."""
-    return "".join(WORD.findall(chunk)).lower()
+    return "".join(WORD.findall(blanked(chunk))).lower()
 
 
 def pieces_of(text: str) -> list[str]:
     """The words of the chain: runs of letters, in lower case, in pieces of at most ``WIDTH``."""
-    return PIECE.findall(text.lower())
+    return PIECE.findall(blanked(text.lower()))
 
 
 def features(words: list[str], lexicon: dict[str, list[int]], langs: int) -> np.ndarray:
@@ -346,12 +356,17 @@ def predict(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str
                 held, ids, n = [], [], 0
                 seen: dict[str, int] = {}
                 while order and n < CHAIN_WORDS:
-                    held.append(order.pop())
-                    words = pieces_of(texts[held[-1]])
+                    at = order.pop()
+                    words = pieces_of(texts[at])
+                    if not words:
+                        continue
+                    held.append(at)
                     for w in words:
                         seen.setdefault(w, len(seen))
                     ids.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
                     n += len(words)
+                if not held:
+                    continue
                 rows_of = known.learn(list(seen))
                 ids = [rows_of[x] for x in ids]
                 sums = text_posteriors(ids, known.table, move, start)
