@@ -4,19 +4,17 @@ Statistics of a document (computed by Spark functions in one row-wise pass
 over whole texts, written as a narrow table) are standardised and mapped to
 ``FEATURES`` random Fourier features, which approximate a Gaussian kernel.
 Each share of the training rows sums its part of the normal equations; the
-sums add up to one small system, solved for the ridge weights. Raw scores of
-calibration rows, which the fit has not seen, then give a monotone map to
-probabilities by isotonic regression.
+sums add up to one small system, solved for the ridge weights. For the
+calibration every row is scored by the system without its own share's part, so
+by weights that have not seen it; isotonic regression makes these scores a
+monotone map to probabilities. The same at every size.
 
 Labels are learned from at most about ``MAX_TRAIN`` labelled rows (chosen by a
 hash of the id); this is the only bound, and every document is scored. Scores
 never use the label, language, source or id of a document.
 
-With fewer than ``20 * CALIBRATE`` (80) labelled rows to learn from, all of them
-both fit and calibrate, so these scores are calibrated in sample.
-
 Defined cases: null and empty texts have all statistics 0 and a score like
-any other; without labelled rows every score is 0.5; null labels are not
+any other; labelled rows of a single share are calibrated to their mean; without labelled rows every score is 0.5; null labels are not
 learned from, repeated labels each count; repeated rows and null ids are rows of
 their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -41,8 +39,6 @@ BANDWIDTH = 2.0
 RIDGE = 1e-2
 SHARES = 8
 SEED = 11
-#: One row in so many calibrates instead of fitting.
-CALIBRATE = 4
 #: Weight of the raw score that keeps order within a calibrated step.
 TIE = 1e-3
 
@@ -130,32 +126,38 @@ def fit(stats: DataFrame, labels: DataFrame, known: Column, label: str = "qualit
     if n == 0:
         return None
     rows = (rows.where(F.col("u") < F.lit(min(spread, spread * MAX_TRAIN // n + 1)))
-            .withColumn("share", F.pmod(F.floor(F.col("u") / CALIBRATE), F.lit(SHARES)).cast("int")))
-    train = rows.where(F.col("u") % CALIBRATE != 0) if n >= 20 * CALIBRATE else rows
-    check = rows.where(F.col("u") % CALIBRATE == 0) if n >= 20 * CALIBRATE else rows
+            .withColumn("share", F.pmod("u", F.lit(SHARES)).cast("int")))
 
-    moments = train.agg(*[f(s) for s in STATS for f in (F.mean, F.stddev_pop)]).first()
+    moments = rows.agg(*[f(s) for s in STATS for f in (F.mean, F.stddev_pop)]).first()
     mean = np.array([moments[2 * i] or 0.0 for i in range(len(STATS))])
     scale = np.array([moments[2 * i + 1] or 1.0 for i in range(len(STATS))])
     rng = np.random.default_rng(SEED)
     m = Model(mean, scale, rng.normal(0, 1 / BANDWIDTH, (len(STATS), FEATURES)),
               rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), (np.zeros(1), np.zeros(1)))
-    size = FEATURES + 1
-    parts = train.groupBy("share").applyInPandas(_equations(m), "share int, sums binary").collect()  # SHARES rows
-    sums = sum(np.frombuffer(p.sums) for p in sorted(parts, key=lambda p: p.share))
-    a, b = sums[:size * size].reshape(size, size), sums[size * size:]
-    m.weights = np.linalg.solve(a + RIDGE * np.eye(size), b)
+    parts = rows.groupBy("share").applyInPandas(_equations(m), "share int, sums binary").collect()  # SHARES rows
+    sums = {p.share: np.frombuffer(p.sums) for p in sorted(parts, key=lambda p: p.share)}
+    total = sum(sums.values())
+    m.weights = solved(total)
+    unseen = {share: solved(total - part) for share, part in sums.items()}
 
-    raw = check.mapInPandas(_raw(m), "raw double, y double")
+    raw = rows.mapInPandas(_raw(m, unseen), "raw double, y double")
     steps = IsotonicRegression(featuresCol="raw", labelCol="y").fit(raw)
     m.steps = (steps.boundaries.toArray(), steps.predictions.toArray())
     return m
 
 
-def _raw(m: Model):
+def solved(sums: np.ndarray) -> np.ndarray:
+    """The ridge weights of summed normal equations."""
+    size = FEATURES + 1
+    return np.linalg.solve(sums[:size * size].reshape(size, size) + RIDGE * np.eye(size), sums[size * size:])
+
+
+def _raw(m: Model, unseen: dict[int, np.ndarray]):
+    """Raw scores of the training rows by the weights that were fitted without their share."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"raw": m.raw(b[list(STATS)].to_numpy()), "y": b["y"]})
+            weights = np.stack([unseen[share] for share in b["share"]]) if len(b) else np.zeros((0, FEATURES + 1))
+            yield pd.DataFrame({"raw": (fourier(m, b[list(STATS)].to_numpy()) * weights).sum(axis=1), "y": b["y"]})
 
     return run
 

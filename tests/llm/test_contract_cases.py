@@ -5,8 +5,10 @@ import itertools
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
-from panelcast.llm import language_id, license_scan, secret_scan
+from panelcast.llm import language_id, license_scan, quality_model, secret_scan
 from panelcast.llm.common import table
 from panelcast.session import scratch_path
 
@@ -77,6 +79,30 @@ def test_training_sees_switches():
     assert all(len(w) == len(g) == 40 and set(g) == {0, 1} and (g[0] == (w[0] // 100) % 2) for w, g in mixed)
 
 
+# --- quality ------------------------------------------------------------------
+
+def test_weights_solve_the_ridge_and_calibration_is_unseen(spark):
+    docs, labels = table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels")
+    stats = quality_model.statistics(docs)
+    m = quality_model.fit(stats, labels, F.lit(True))
+    rows = stats.join(labels, stats["key"] == labels["doc_id"]).where("quality is not null")
+    rows = rows.withColumn("share", F.expr(f"pmod(pmod(xxhash64('rff', string(key)), 1000000), {quality_model.SHARES})")).toPandas()
+    x, y = rows[list(quality_model.STATS)].to_numpy(float), rows["quality"].to_numpy(float)
+    assert np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.scale, np.where(x.std(axis=0) == 0, 1, x.std(axis=0)))
+
+    def ridge(keep):
+        f = quality_model.fourier(m, x[keep])
+        return np.linalg.solve(f.T @ f + quality_model.RIDGE * np.eye(f.shape[1]), f.T @ y[keep])
+
+    assert np.allclose(m.weights, ridge(np.ones(len(x), bool)), atol=1e-6)
+    share = rows["share"].to_numpy()
+    raw = np.array([quality_model.fourier(m, x[i:i + 1]) @ ridge(share != share[i]) for i in range(len(x))]).ravel()
+    # The steps are the isotonic fit of these scores: bounds among them, values that rise.
+    assert np.abs(raw[:, None] - m.steps[0]).min(axis=0).max() < 1e-6 and (np.diff(m.steps[1]) >= 0).all()
+    order = np.argsort(raw)
+    assert np.interp(raw[order], *m.steps).mean() == pytest.approx(y.mean(), abs=0.05)
+
+
 # --- secrets -----------------------------------------------------------------
 
 SECRETS = {
