@@ -31,6 +31,7 @@ from panelcast.operators.scale import range_scale
 from panelcast.operators.slices import (
     PIECE, all_pieces, check_strategy, earlier_pieces, range_slices, with_halo,
 )
+from panelcast.session import materialize
 
 # Smoothing clamps and the forecast horizon (ten years of days,
 # both ends of the date range included).
@@ -130,6 +131,8 @@ def _scaled_series_balanced(panel: DataFrame, col: str, key: str,
     df = df.withColumn("ratio", smooth_ratio(F.col("ratio_raw")))
     df = (df.withColumn("rn", (F.col("_off") + F.sum(own).over(run)))
           .withColumn("_in", F.sum(F.log("ratio")).over(run)).where(~F.col("_halo")))
+    # The sums per piece and the result both read the state: it is written once.
+    df = materialize(df, "series-state")
     sums = df.groupBy(*PIECE).agg(
         F.sum(F.log("ratio")).alias("_s"),
         F.min((F.col("rn") == 1) | F.col("ratio").isNotNull()).alias("_ok"))
