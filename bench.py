@@ -20,16 +20,23 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "panel_sum",
     "csv_source",
+    "csv_rows_with_ledger",
+    "row_account",
     "topk_value",
+    "topk_lines",
+    "codes_in_order",
     "calendar_features",
     "lag_frame_backward",
     "lag_frame_raw_balanced",
+    "lag_frame_incremental",
     "short_series_filter",
     "ffill_series",
+    "ffill_frame",
     "time_split_train",
     "mape_by_split",
     "mape_by_code",
     "zscore",
+    "zscore_merged",
     "label_within_30d",
     "step_ratio_smoothed",
     "ratio_extrapolate",
@@ -38,8 +45,10 @@ HEADLINE = [
     "history_plus_forecast_features",
     "mape_by_code_positional",
     "gbt_fit_predict",
+    "gbt_early_stop",
     "forecast_all_codes",
     "forecast_csv_sink",
+    "forecast_packed_sink",
 ]
 
 
