@@ -1,14 +1,16 @@
 """Cases that single operators must get right: order of notices, letters, switches, a ledger that is kept."""
 
+import collections
 import itertools
+import re
 
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
-from panelcast.llm import language_id, license_scan, quality_model, secret_scan
+from conftest import SF_MID, SF_SMALL
+from panelcast.llm import language_id, license_scan, near_dedup, quality_model, secret_scan
 from panelcast.llm.common import table
 from panelcast.session import scratch_path
 
@@ -150,3 +152,31 @@ def test_rows_that_repeat_id_and_text_are_scanned_once():
     rows = pd.DataFrame({"blob": [b"a", b"b", b"a"], "text": ["x", "token=abcdefghijklmn", "x"]})
     got = pd.concat(secret_scan._scan(iter([rows, rows])))
     assert got["blob"].tolist() == [b"a", b"b"] and [len(s) for s in got["spans"]] == [0, 1]
+
+
+# --- near duplicates -----------------------------------------------------------
+
+def test_every_pair_of_the_threshold_is_linked(spark):
+    """All pairs of 0.8 or more, found by brute force, share a class; no class joins what no chain of them joins."""
+    rows = table(spark, SF_MID, "documents").select("doc_id", "text").collect()
+    sets, holders = {}, collections.defaultdict(list)
+    for r in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (r.text or "").lower()) if x]
+        sets[r.doc_id] = {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+        for s in sets[r.doc_id]:
+            holders[s].append(r.doc_id)
+    shared = collections.Counter(p for ids in holders.values() for p in itertools.combinations(ids, 2))
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.class_id for r in near_dedup.query(spark, table(spark, SF_MID, "documents")).collect()}
+    assert len(pairs) > 50 and all(got[a] == got[b] for a, b in pairs)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert got == {i: find(i) for i in sets}
