@@ -22,7 +22,8 @@ run through the chain in lockstep.
 Defined cases: null text, and text without a letter, is ``und`` with score 0;
 without any labelled training text every text is ``und``; null languages are
 not learned from; repeated rows and ids are rows of their own; very long
-texts are processed whole; an empty table gives an empty result.
+texts are processed whole; of languages with equal shares the first by name is
+taken; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

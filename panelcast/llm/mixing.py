@@ -16,7 +16,9 @@ task. The driver sees one aggregate row per round of water-filling.
 Defined cases: null text counts 0 words; a null source is a source of its
 own, ordered last; documents of size 0 take 0; null and repeated ids are
 rows like others (ties in the seeded order fall back on the size); sources
-of total size 0 get target 0; an empty table gives an empty result.
+of total size 0 get target 0; very long texts are taken whole (but for the one of
+a source that is cut); an empty table gives an empty result; extra columns are
+ignored by the query and kept by the mix.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ never use the label, language, source or id of a document.
 Defined cases: null and empty texts have all statistics 0 and a score like
 any other; labelled rows of a single share are calibrated to their mean; without labelled rows every score is 0.5; null labels are not
 learned from, repeated labels each count; repeated rows and null ids are rows of
-their own; an empty table gives an empty result; other columns are ignored.
+their own; ties of scores stay ties; very long texts are measured whole; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ within one text.
 
 Defined cases: a null or empty text has no words and no lines (all counts 0,
 so it fails ``few_words``); a text of fewer than three words has no window;
-repeated rows give repeated ledger rows; an empty table gives an empty
+repeated rows give repeated ledger rows; very long texts are measured whole; a
+measure that equals its limit passes; an empty table gives an empty
 ledger; null ids are carried along; other columns are ignored, whatever
 their names.
 """

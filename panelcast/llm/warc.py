@@ -20,7 +20,8 @@ paths) and belong under the shared folder of ``spark.checkpoint.dir``.
 Defined cases: null html is an empty payload; a null URL is written as an
 empty one, and line breaks in URLs are percent-encoded; rows that repeat the
 largest page id of a payload are all responses; null ids count as smaller than
-any other; an empty table gives an empty index; other columns are ignored.
+any other; very long pages are one record each, read whole; an empty table gives
+an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
