@@ -35,7 +35,7 @@ text) are one document; rows that share an id but not the text are documents
 of their own, each judged by its own text; rows with a null id take part like
 others, come after all ids, and a class without any id has a null name (two
 rows with a null id and the same words are one document); an empty table gives
-an empty result; extra columns are ignored.
+an empty result; very long texts are compared whole; extra columns are ignored.
 """
 
 from __future__ import annotations
