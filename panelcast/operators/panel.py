@@ -119,3 +119,22 @@ def filter_code(panel: DataFrame, code: str) -> DataFrame:
     """Rows of one series; the equality predicate reaches the scan when possible."""
     return panel.where(F.col("code") == F.lit(code))
 
+
+# Tasks that each keep their own first ``k`` rows before the final merge.
+TOP_K_BUCKETS = 64
+
+
+def top_k_rows(df: DataFrame, k: int, by: list[str], buckets: int = TOP_K_BUCKETS) -> DataFrame:
+    """The first ``k`` rows in ascending ``by`` order, exactly.
+
+    Input partitions are folded into ``buckets`` groups and each group keeps
+    its first ``k`` rows (limited before the shuffle as well, see
+    ``WindowGroupLimit``), so the one task of the final ordered limit reads
+    ``buckets * k`` rows at most, however large the input. For a ``k`` above
+    Spark's ``windowGroupLimitThreshold`` use :func:`panelcast.operators.topk.top_k_rows`,
+    which moves only the answer but scans the frame when it is called.
+    """
+    group = Window.partitionBy("_b").orderBy(*by)
+    kept = (df.withColumn("_b", F.spark_partition_id() % buckets)
+            .withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= k).drop("_b", "_r"))
+    return kept.orderBy(*by).limit(k)
